@@ -1,0 +1,12 @@
+"""Named queries over the provided tables."""
+from __future__ import annotations
+
+import importlib
+import pkgutil
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    for mod in sorted(m.name for m in pkgutil.iter_modules(__path__)):
+        if mod.startswith("queries_"):
+            importlib.import_module(f"{__name__}.{mod}")
