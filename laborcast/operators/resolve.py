@@ -1,11 +1,12 @@
 """Free-text titles resolved to occupation codes, and occupation search."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.places import canonical_city
 from ..functions.titles import first_two_words, title_match_key
-from .ranks import keep_one
+from .containment import any_token_join, contains_join
+from .ranks import keep_one, top_k
 
 # Codes a title must not be sent to, and the words that forbid it.
 CONFLICTS = {
@@ -86,3 +87,95 @@ def postings_with_city(postings: DataFrame, code_map: DataFrame) -> DataFrame:
     cities = postings.select("city").where(F.coalesce("city", F.lit("")) != "").distinct() \
         .select("city", canonical_city(F.col("city")).alias("_c")).select("city", "_c.*")
     return postings.join(code_map, "posting_id").join(cities, "city", "left")
+
+
+def query_tokens(text: Column) -> Column:
+    """Words of three or more letters of a free-text query."""
+    clean = F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", ""))
+    return F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) > 2)
+
+
+def domain_search(requests: DataFrame, occupations: DataFrame, *, k: int = 10) -> DataFrame:
+    """Top occupations of each (request, query) whose title or description has any query word."""
+    asked = requests.select("request", query_tokens(F.col("query")).alias("tokens"))
+    titles = occupations.select("soc_code", "title", "description", F.concat_ws("\n", F.lower("title"), F.lower("description")).alias("_text"))
+    hits = any_token_join(asked, "request", "tokens", titles, "_text")
+    found = hits.join(asked, "request").join(titles, "_text")
+    relevance = F.when(F.lower("title").contains(F.get("tokens", F.lit(0))), 3.0).otherwise(1.0)
+    rows = found.select("request", "soc_code", "title", relevance.alias("relevance"))
+    return top_k(rows, ["request"], [F.desc("relevance"), F.asc(F.length("title")), F.asc("title")], k) \
+        .withColumn("relevance_score", F.least(F.round(F.col("relevance") * 0.35 + 0.50, 2), F.lit(0.98)))
+
+
+def best_occupation(queries: DataFrame, occupations: DataFrame) -> DataFrame:
+    """Best occupation per query: equal title, title containing it, title containing all its words; the shortest
+    title wins inside a stage (T03, T08). ``queries`` is (query,)."""
+    q = queries.select("query").distinct().withColumn("_q", F.lower(F.trim("query"))).where("_q <> ''")
+    occ = occupations.select("soc_code", "title", F.lower("title").alias("_t"))
+    part = contains_join(q, "_q", occ, "_t")
+    near = q.join(part, "_q").select("query", "_t", F.when(F.col("_q") == F.col("_t"), 1).otherwise(2).alias("stage"))
+    words = q.select("query", query_tokens(F.col("query")).alias("tokens"))
+    all_words = any_token_join(words, "query", "tokens", occ, "_t").join(words, "query") \
+        .where(F.col("hits") == F.size(F.array_distinct("tokens"))).select("query", "_t", F.lit(3).alias("stage"))
+    hits = near.unionByName(all_words).join(occ, "_t")
+    return keep_one(hits, ["query"], [F.asc("stage"), F.asc(F.length("title")), F.asc("title")]).select("query", "soc_code", "title", "stage")
+
+
+# The confidence of each search stage.
+SEARCH_STAGES = {"alias_exact": 1.0, "title_exact": 1.0, "alternate_exact": 0.95, "alias_partial": 0.90,
+                 "title_partial": 0.88, "alternate_partial": 0.82, "token_match": 0.70}
+
+
+def _stage_rows(df: DataFrame, stage: int, method: str, confidence: Column, size: Column) -> DataFrame:
+    return df.select("query", "soc_code", "title", F.lit(stage).alias("stage"), F.lit(method).alias("method"),
+                     F.round(confidence, 2).alias("confidence"), F.col("matched_term"), size.alias("_size"))
+
+
+def search_titles(queries: DataFrame, occupations: DataFrame, aliases: DataFrame, alternates: DataFrame, *, k: int = 5) -> DataFrame:
+    """Top ``k`` occupations per free-text query over seven stages.
+
+    Exact stages upgrade a lower confidence. Each partial stage offers its ``k`` shortest terms and only adds
+    occupations while fewer than ``k`` were found before it. ``aliases``: raw_title, soc_code, confidence;
+    ``alternates``: title, soc_code.
+    """
+    q = queries.select("query").distinct().withColumn("_q", F.lower(F.trim("query"))).where("_q <> ''")
+    occ = occupations.select("soc_code", "title")
+    named = {
+        "alias": aliases.select("soc_code", F.col("raw_title").alias("matched_term"), "confidence").join(occ, "soc_code"),
+        "title": occ.withColumn("matched_term", F.col("title")).withColumn("confidence", F.lit(1.0)),
+        "alternate": alternates.select("soc_code", F.col("title").alias("matched_term")).join(occ, "soc_code").withColumn("confidence", F.lit(1.0)),
+    }
+    terms = [df.select(F.lit(name).alias("kind"), "soc_code", "title", "matched_term", "confidence", F.lower("matched_term").alias("_t"))
+             for name, df in named.items()]
+    terms = terms[0].unionByName(terms[1]).unionByName(terms[2])
+    hits = q.join(contains_join(q, "_q", terms, "_t"), "_q").join(terms, "_t")
+    kind, exact = F.col("kind"), F.col("_t") == F.col("_q")
+    order = {"alias": (1, 4), "title": (2, 5), "alternate": (3, 6)}
+    score = {"alias": (F.col("confidence"), F.col("confidence") * SEARCH_STAGES["alias_partial"]),
+             "title": (F.lit(1.0), F.lit(SEARCH_STAGES["title_partial"])),
+             "alternate": (F.lit(SEARCH_STAGES["alternate_exact"]), F.lit(SEARCH_STAGES["alternate_partial"]))}
+    parts = []
+    for name in order:
+        mine = hits.where(kind == name)
+        parts.append(_stage_rows(mine.where(exact), order[name][0], f"{name}_exact", score[name][0], F.length("matched_term")))
+        parts.append(_stage_rows(mine, order[name][1], f"{name}_partial", score[name][1], F.length("matched_term")))
+    words = q.select("query", query_tokens(F.col("query")).alias("tokens"))
+    lowered = occ.withColumn("_t", F.lower("title"))
+    by_word = any_token_join(words, "query", "tokens", lowered, "_t").join(lowered, "_t").withColumn("matched_term", F.col("title"))
+    parts.append(_stage_rows(by_word, 7, "token_match", F.lit(SEARCH_STAGES["token_match"]), F.length("matched_term")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    # Exact alias and title hits are all offered; every later stage offers the k shortest of its terms.
+    early = rows.where("stage <= 2")
+    late = top_k(rows.where("stage > 2"), ["query", "stage"], [F.asc("_size"), F.asc("matched_term"), F.asc("soc_code")], k, "_pos").drop("_pos")
+    ranked = keep_one(early.unionByName(late), ["query", "soc_code", "stage"], [F.desc("confidence"), F.asc("_size"), F.asc("matched_term")])
+    firsts = ranked.withColumn("_first", F.min("stage").over(W.partitionBy("query", "soc_code")))
+    new = firsts.where(F.col("stage") == F.col("_first"))
+    before = W.partitionBy("query").orderBy("stage").rangeBetween(W.unboundedPreceding, -1)
+    open_ = new.withColumn("_before", F.count(F.lit(1)).over(before)).where((F.col("stage") <= 3) | (F.col("_before") < k))
+    keys = open_.select("query", "soc_code", "_first")
+    chosen = ranked.join(keys, ["query", "soc_code"]).where((F.col("stage") <= 3) | (F.col("stage") == F.col("_first")))
+    best = keep_one(chosen, ["query", "soc_code"], [F.desc("confidence"), F.asc("stage")])
+    return top_k(best, ["query"], [F.desc("confidence"), F.asc("stage"), F.asc("_size"), F.asc("soc_code")], k) \
+        .select("query", "soc_code", "title", "method", "confidence", "matched_term", "position")

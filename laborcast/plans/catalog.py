@@ -12,6 +12,11 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def decimal_round(value: str, digits: int) -> str:
+    """DuckDB text that rounds a double by its shortest decimal form, as Spark does."""
+    return f"CAST(round(CAST(CAST(({value})::DOUBLE AS VARCHAR) AS DECIMAL(38,17)), {digits}) AS DOUBLE)"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; ``sql`` is the equivalent over the same lenses, run by DuckDB."""
     def register(fn: QueryFn) -> QueryFn:

@@ -228,7 +228,7 @@ def _needed(sql: str, engine: str) -> list[str]:
 
     def visit(text: str) -> None:
         for name in lens_sql():
-            if name not in order and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
+            if name not in order and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b|,\s*{name}\b(?!\s*(?:AS|\.|\())", text):
                 visit(_text(name, engine))
                 if name not in order:
                     order.append(name)

@@ -102,7 +102,9 @@ def _(spark, sf):
 
 
 VOLUMES_SQL = f"""{TERMS_SQL},
-matched AS (SELECT t.pattern, p.* FROM (SELECT DISTINCT pattern FROM terms) t JOIN postings p ON contains(lower(p.title), t.pattern))"""
+posting_titles AS (SELECT DISTINCT title FROM postings),
+title_hits AS (SELECT DISTINCT t.pattern, x.title FROM terms t JOIN posting_titles x ON contains(lower(x.title), t.pattern)),
+matched AS (SELECT h.pattern, p.* FROM title_hits h JOIN postings p USING (title))"""
 
 
 def volumes(spark, sf):
