@@ -1,2 +1,45 @@
-def lens_sql():
-    return {}
+"""Lenses of candidates, their skills, roles and jobs."""
+from __future__ import annotations
+
+from ..sources.seeds import AMBIGUOUS_ALIASES, NON_SKILLS, SKILLS
+from .lenses import CITY_NAMES, WORD_ALIASES, values
+
+# Position of a skill in this list decides which candidates and jobs have it.
+SKILL_IDS = [s[0] for s in SKILLS]
+N = len(SKILL_IDS)
+
+
+def lens_sql() -> dict[str, str | tuple[str, str]]:
+    pairs = [(s[0], a) for s in SKILLS for a in s[7]] + WORD_ALIASES
+    return {
+        "skills": values([(s[0], s[1], s[2], s[3] or "", s[5], s[6], i) for i, s in enumerate(SKILLS)],
+                         "id, display, category, maps_to, difficulty_tier, is_category, load_id"),
+        "aliases": values([(i, a, AMBIGUOUS_ALIASES.get(a, "")) for i, a in pairs], "id, alias, rule"),
+        "prerequisites": values([(s[0], p) for s in SKILLS for p in s[4]], "id, prerequisite"),
+        "non_skills": values(NON_SKILLS, "id, reason"),
+        # Every customer is a candidate; the parts of their orders' lines decide their skills.
+        "candidates": """
+            SELECT c.c_custkey AS candidate_id, c.c_nationkey AS nationkey, n.raw_city AS location,
+              floor(abs(c.c_acctbal) / 100) / 10 AS experience_years,
+              CASE c.c_mktsegment WHEN 'BUILDING' THEN 'B.Tech Civil' WHEN 'MACHINERY' THEN 'Master of Science'
+                WHEN 'HOUSEHOLD' THEN '' ELSE 'Diploma in Arts' END AS education, p.occupation AS target_role, p.soc_code
+            FROM customer c JOIN city_names n ON n.nationkey = c.c_nationkey
+            JOIN parts_coded p ON p.p_partkey = c.c_custkey % (SELECT count(*) FROM part)""",
+        "candidate_evidence": f"""
+            SELECT DISTINCT o.o_custkey AS candidate_id, s.id AS skill_id,
+              CASE l.l_linenumber % 4 WHEN 0 THEN 'work_supported' WHEN 1 THEN 'project_supported' WHEN 2 THEN 'resume_mentioned' ELSE 'self_reported' END AS evidence
+            FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
+            JOIN skills s ON s.load_id = l.l_partkey % {N} WHERE l.l_linenumber <= 5""",
+        "candidate_claims": """
+            SELECT DISTINCT candidate_id, skill_id, 1 + (candidate_id + length(skill_id)) % 5 AS claimed
+            FROM candidate_evidence WHERE (candidate_id + length(skill_id)) % 3 = 0""",
+        # What a role asks for: the most mentioned skills of its postings, by name, with a demand weight.
+        "role_mentions": """
+            SELECT p.occupation AS target_role, s.skill_name, count(*) AS n
+            FROM posting_skills s JOIN postings p ON p.posting_id = s.posting_id GROUP BY p.occupation, s.skill_name""",
+        "role_skills": """
+            SELECT target_role, skill_name, rank, CASE WHEN rank % 4 = 3 THEN NULL ELSE round(n * 1.0 / top, 4) END AS weight FROM (
+              SELECT target_role, skill_name, n, max(n) OVER (PARTITION BY target_role) AS top,
+                row_number() OVER (PARTITION BY target_role ORDER BY n DESC, skill_name) - 1 AS rank FROM role_mentions) t
+            WHERE rank < 12""",
+    }

@@ -64,3 +64,66 @@ def education_levels(spark: SparkSession) -> DataFrame:
 def major_groups(spark: SparkSession) -> DataFrame:
     rows = [(k, *v) for k, v in MAJOR_GROUPS.items()]
     return spark.createDataFrame(rows, "soc_major_group string, major_group_title string, career_cluster string, local_industry string")
+
+# A small starter taxonomy: (id, display, category, maps_to, prerequisites, difficulty tier, is a broad field, aliases).
+SKILLS = [
+    ("programming", "Programming", "field", None, [], 1, True, ["programming", "coding"]),
+    ("data", "Data", "field", None, [], 1, True, ["data work"]),
+    ("databases", "Databases", "field", "data", [], 1, True, ["databases"]),
+    ("ai", "Artificial Intelligence", "field", "data", [], 2, True, ["ai", "artificial intelligence"]),
+    ("cloud", "Cloud", "field", None, [], 1, True, ["cloud", "cloud computing"]),
+    ("healthcare", "Healthcare", "field", None, [], 1, True, ["healthcare"]),
+    ("python", "Python", "language", "programming", [], 1, False, ["python", "python3"]),
+    ("java", "Java", "language", "programming", [], 2, False, ["java"]),
+    ("javascript", "JavaScript", "language", "programming", [], 1, False, ["javascript", "js"]),
+    ("nodejs", "Node.js", "framework", "javascript", ["javascript"], 2, False, ["node.js", "nodejs"]),
+    ("react", "React", "framework", "javascript", ["javascript"], 2, False, ["react", "react.js"]),
+    ("react_native", "React Native", "framework", "react", ["react"], 2, False, ["react native"]),
+    ("cpp", "C++", "language", "programming", ["c"], 3, False, ["c++"]),
+    ("c", "C", "language", "programming", [], 2, False, ["c"]),
+    ("r", "R", "language", "programming", [], 2, False, ["r"]),
+    ("go", "Go", "language", "programming", [], 2, False, ["go", "golang"]),
+    ("sql", "SQL", "database", "databases", [], 1, False, ["sql"]),
+    ("postgresql", "PostgreSQL", "database", "sql", ["sql"], 2, False, ["postgresql", "postgres"]),
+    ("mysql", "MySQL", "database", "sql", ["sql"], 2, False, ["mysql"]),
+    ("pandas", "Pandas", "library", "python", ["python"], 1, False, ["pandas"]),
+    ("statistics", "Statistics", "method", "data", [], 2, False, ["statistics"]),
+    ("machine_learning", "Machine Learning", "method", "ai", ["python", "statistics"], 3, False, ["machine learning", "ml"]),
+    ("deep_learning", "Deep Learning", "method", "machine_learning", ["machine_learning"], 3, False, ["deep learning"]),
+    ("generative_ai", "Generative AI", "method", "ai", ["deep_learning"], 3, False, ["generative ai", "genai"]),
+    ("aws", "AWS", "platform", "cloud", [], 2, False, ["aws", "amazon web services"]),
+    ("azure", "Microsoft Azure", "platform", "cloud", [], 2, False, ["azure", "microsoft azure"]),
+    ("gcp", "Google Cloud", "platform", "cloud", [], 2, False, ["google cloud", "gcp"]),
+    ("docker", "Docker", "tool", "cloud", ["linux"], 2, False, ["docker"]),
+    ("kubernetes", "Kubernetes", "tool", "cloud", ["docker"], 3, False, ["kubernetes", "k8s"]),
+    ("linux", "Linux", "tool", None, [], 1, False, ["linux"]),
+    ("git", "Git", "tool", None, [], 1, False, ["git"]),
+    ("spark", "Apache Spark", "tool", "data", ["python", "sql"], 3, False, ["spark", "apache spark"]),
+    ("hadoop", "Hadoop", "tool", "data", ["java", "linux"], 3, False, ["hadoop"]),
+    ("tableau", "Tableau", "tool", "data", ["sql"], 1, False, ["tableau"]),
+    ("power_bi", "Power BI", "tool", "data", [], 1, False, ["power bi"]),
+    ("excel", "Excel", "tool", "data", [], 1, False, ["excel"]),
+    ("nursing", "Nursing", "care", "healthcare", [], 2, False, ["nursing"]),
+    ("patient_care", "Patient Care", "care", "nursing", [], 1, False, ["patient care"]),
+    ("autocad", "AutoCAD", "tool", None, [], 2, False, ["autocad"]),
+    ("wiring", "Wiring", "trade", None, [], 2, False, ["wiring"]),
+]
+# Aliases too ambiguous to accept anywhere: alias -> rule.
+AMBIGUOUS_ALIASES = {"c": "list", "r": "list", "go": "case", "spark": "case", "excel": "case"}
+# Names that look like skills and are broad labels.
+NON_SKILLS = [("communication", "a general trait"), ("management", "a broad label"), ("level_2", "a level, not a skill")]
+
+SKILL_SCHEMA = ("id string, display string, category string, maps_to string, prerequisites array<string>, difficulty_tier int, "
+                "is_category boolean, load_id int")
+
+
+def taxonomy(spark: SparkSession, extra_aliases: list[tuple[str, str]] = ()) -> tuple[DataFrame, DataFrame]:
+    """(skills, aliases) of the starter taxonomy, with further (id, alias) pairs if given."""
+    skills = [(*s[:7], i) for i, s in enumerate(SKILLS)]
+    pairs = [(s[0], a) for s in SKILLS for a in s[7]] + list(extra_aliases)
+    rows = [(i, a, AMBIGUOUS_ALIASES.get(a)) for i, a in pairs]
+    return spark.createDataFrame(skills, SKILL_SCHEMA), spark.createDataFrame(rows, "id string, alias string, rule string")
+
+
+def non_skills(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(NON_SKILLS, "id string, reason string")
