@@ -23,13 +23,13 @@ def contains_join(patterns: DataFrame, pattern: str, texts: DataFrame, text: str
     p, t = F.col("_pattern"), F.col("_text")
     own = F.when(F.length(p) < GRAM, F.array(p)).otherwise(grams(p, GRAM))
     anchors = patterns.where(F.coalesce(F.col(pattern), F.lit("")) != "").select(F.col(pattern).alias("_pattern")).distinct() \
-        .select("_pattern", F.explode(own).alias("_gram")) \
+        .select("_pattern", F.explode_outer(own).alias("_gram")) \
         .select("_pattern", "_gram", F.count(F.lit(1)).over(W.partitionBy("_gram")).alias("_shared")) \
         .groupBy("_pattern").agg(F.min_by("_gram", F.struct("_shared", "_gram")).alias("_gram"))
     # Grams of one and two characters serve patterns shorter than GRAM.
     every = F.concat(*[grams(t, n) for n in range(1, GRAM + 1)])
     text_grams = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).distinct() \
-        .select("_text", F.explode(every).alias("_gram"))
+        .select("_text", F.explode_outer(every).alias("_gram"))
     return text_grams.join(anchors, "_gram").where(t.contains(p)).select(p.alias(pattern), t.alias(text))
 
 

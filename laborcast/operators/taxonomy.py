@@ -98,7 +98,7 @@ def misread_repairs(texts: DataFrame, id_col: str, text: str, skills: DataFrame,
         starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.regexp_replace(F.array_join(F.slice("_w", i, n), " "), r"^[.,;:()\[\]]+|[.,;:()\[\]]+$", ""))
 
-    raw = words.select(id_col, F.explode(F.concat(phrases(1), phrases(2), phrases(3))).alias("raw")).where(F.length("raw") >= MIN_MISREAD_LENGTH)
+    raw = words.select(id_col, F.explode_outer(F.concat(phrases(1), phrases(2), phrases(3))).alias("raw")).where(F.length("raw") >= MIN_MISREAD_LENGTH)
     hits = raw.withColumn("_fold", misread_key(F.col("raw"))).join(index, "_fold").withColumn("_key", lookup_key(F.col("raw")))
     return hits.join(known, "_key", "left_anti").select(id_col, "raw", "fixed").distinct()
 
@@ -121,7 +121,7 @@ def gram_similarity(names: DataFrame, group: list[str], *, threshold: float) ->
     the rest cannot reach the threshold, so no qualifying pair is missed and unrelated names never meet.
     """
     unique = names.select(*group, "side", "name").distinct()
-    tf = unique.select(*group, "side", "name", F.explode(char_grams(F.col("name"))).alias("gram")) \
+    tf = unique.select(*group, "side", "name", F.explode_outer(char_grams(F.col("name"))).alias("gram")) \
         .groupBy(*group, "side", "name", "gram").agg(F.count(F.lit(1)).alias("tf"))
     total = unique.groupBy(*group).agg(F.count(F.lit(1)).alias("docs"))
     df = tf.groupBy(*group, "gram").agg(F.count(F.lit(1)).alias("df"))

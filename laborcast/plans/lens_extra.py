@@ -42,4 +42,25 @@ def lens_sql() -> dict[str, str | tuple[str, str]]:
               SELECT target_role, skill_name, n, max(n) OVER (PARTITION BY target_role) AS top,
                 row_number() OVER (PARTITION BY target_role ORDER BY n DESC, skill_name) - 1 AS rank FROM role_mentions) t
             WHERE rank < 12""",
+        # Postings as jobs: the source, the mode and the type follow from the key.
+        "jobs": """
+            SELECT p.posting_id AS job_id, p.title, p.occupation AS role, p.company, c.raw_city AS location_raw, p.listed_year, p.posted_at,
+              CASE p.posting_id % 5 WHEN 0 THEN 'remote' WHEN 1 THEN 'hybrid' WHEN 2 THEN 'onsite' ELSE 'unknown' END AS work_mode,
+              CASE p.posting_id % 4 WHEN 0 THEN 'full_time' WHEN 1 THEN 'contract' WHEN 2 THEN 'internship' ELSE 'unknown' END AS employment_type,
+              p.experience_min, p.experience_max, CAST(floor(p.salary_min * 5) AS BIGINT) AS salary_min, CAST(floor(p.salary_max * 5) AS BIGINT) AS salary_max,
+              p.posting_id % 10 = 0 AS salary_is_predicted, p.posting_id % 6 = 0 AS stale,
+              concat(p.title, CASE p.posting_id % 4 WHEN 0 THEN ' needs a Master''s degree' WHEN 1 THEN ' for any graduate' WHEN 2 THEN ' with PhD' ELSE ' welcome' END) AS description
+            FROM postings p JOIN city_names c ON c.nationkey = p.nationkey""",
+        "job_own_skills": """
+            SELECT DISTINCT m.posting_id AS job_id, m.occupation_context AS role, m.skill_normalized AS skill_id FROM skill_mentions m
+            WHERE m.skill_normalized <> 'gender' AND m.skill_normalized <> 'bonus'""",
+        # Who applied where: one pair per distinct (order, part of one of its lines).
+        "applications": """
+            SELECT DISTINCT l.l_orderkey AS job_id, l.l_partkey % (SELECT count(*) FROM customer) AS candidate_id FROM lineitem l""",
+        "snapshots": """
+            SELECT job_id, role, title, company, location_raw, posted_at, 'listings' AS source, salary_min, salary_max, salary_is_predicted,
+              description, TIMESTAMP '2002-01-01 00:00:00' + INTERVAL 1 HOUR AS fetched_at FROM jobs
+            UNION ALL
+            SELECT job_id + 1000000000, role, title, concat(company, ' Pvt Ltd'), location_raw, posted_at, 'fulltext', NULL, NULL, FALSE,
+              concat(description, ' and a longer text'), TIMESTAMP '2002-01-01 08:00:00' FROM jobs WHERE job_id % 3 <> 0""",
     }
