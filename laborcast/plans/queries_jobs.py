@@ -20,6 +20,10 @@ def now():
     return F.lit(NOW).cast("timestamp")
 
 
+def fresh_now():
+    return F.lit("2000-06-01 00:00:00").cast("timestamp")
+
+
 def jobs(spark, sf):
     return lens(spark, sf, "jobs").withColumn("location", places.normalize_city(F.col("location_raw")))
 
@@ -93,9 +97,9 @@ def applications(spark, sf):
     return lens(spark, sf, "applications")
 
 
-@query("m06_skill_component", f"WITH {CREDIT_SQL} SELECT candidate_id, job_id, round(skills, 4) AS skills FROM ss")
+@query("m06_skill_component", f"WITH {CREDIT_SQL} SELECT candidate_id, job_id, round(skills, 6) AS skills FROM ss")
 def _(spark, sf):
-    return mt.skill_scores(skill_rows(spark, sf, applications(spark, sf))).select(*mt.PAIR, F.round("skills", 4).alias("skills"))
+    return mt.skill_scores(skill_rows(spark, sf, applications(spark, sf))).select(*mt.PAIR, F.round("skills", 6).alias("skills"))
 
 
 @query("j17_credited_job_skills", f"WITH {CREDIT_SQL} SELECT candidate_id, job_id, skill_id, w, round(c, 2) AS c FROM sr")
@@ -170,9 +174,9 @@ MEDIAN = 1_500_000
 
 
 @query("m14_salary_attractiveness", f"""
-SELECT job_id, round(CASE WHEN salary_is_predicted OR coalesce(salary_min, salary_max) IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + ((coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min)) / 2 - {MEDIAN}) / (2.0 * {MEDIAN}))) END::DOUBLE, 4) AS salary_score FROM jobs""")
+SELECT job_id, round(CASE WHEN salary_is_predicted OR coalesce(salary_min, salary_max) IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + ((coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min)) / 2 - {MEDIAN}) / (2.0 * {MEDIAN}))) END::DOUBLE, 9) AS salary_score FROM jobs""")
 def _(spark, sf):
-    return lens(spark, sf, "jobs").select("job_id", F.round(mt.salary_attractiveness(F.lit(MEDIAN)), 4).alias("salary_score"))
+    return lens(spark, sf, "jobs").select("job_id", F.round(mt.salary_attractiveness(F.lit(MEDIAN)), 9).alias("salary_score"))
 
 
 @query("m15_recency", f"""
@@ -236,9 +240,9 @@ def _(spark, sf):
     return po.of_employment(lens(spark, sf, "jobs"), ["contract"]).select("job_id")
 
 
-@query("p15_unexpired", "SELECT job_id FROM jobs WHERE posted_at >= TIMESTAMP '2002-01-01 12:00:00' - INTERVAL 45 DAY")
+@query("p15_unexpired", "SELECT job_id FROM jobs WHERE posted_at >= TIMESTAMP '2000-06-01 00:00:00' - INTERVAL 45 DAY")
 def _(spark, sf):
-    return po.unexpired(lens(spark, sf, "jobs"), now()).select("job_id")
+    return po.unexpired(lens(spark, sf, "jobs"), fresh_now()).select("job_id")
 
 
 @query("t12_newest_first", "SELECT role, job_id, CAST(i AS INT) AS position FROM (SELECT role, job_id, row_number() OVER (PARTITION BY role ORDER BY posted_at DESC, job_id) AS i FROM jobs) WHERE i <= 20")
@@ -278,12 +282,12 @@ def _(spark, sf):
 
 
 @query("m20_audit_counts", f"""
-WITH f AS (SELECT *, CASE job_id % 2 WHEN 0 THEN 'contract' ELSE 'other' END AS employment_type FROM snapshots), g AS (SELECT * FROM f WHERE posted_at >= TIMESTAMP '{NOW}' - INTERVAL 45 DAY),
+WITH f AS (SELECT *, CASE job_id % 2 WHEN 0 THEN 'contract' ELSE 'other' END AS employment_type FROM snapshots), g AS (SELECT * FROM f WHERE posted_at >= TIMESTAMP '2000-06-01 00:00:00' - INTERVAL 45 DAY),
 k AS (SELECT {DUPLICATE_KEY_SQL.replace("coalesce(location, '')", "coalesce(location_raw, '')")} AS dk FROM g)
 SELECT 'fetched' AS step, count(*) AS rows FROM f UNION ALL SELECT 'fresh', count(*) FROM g UNION ALL SELECT 'merged', count(DISTINCT dk) FROM k UNION ALL SELECT 'of_type', count(*) FROM g WHERE employment_type = 'contract'""")
 def _(spark, sf):
     rows = lens(spark, sf, "snapshots").withColumn("employment_type", F.when(F.col("job_id") % 2 == 0, "contract").otherwise("other"))
-    return po.audit(rows, now(), ["contract"], **SOURCES)
+    return po.audit(rows, fresh_now(), ["contract"], **SOURCES)
 
 
 @query("a20_market_age", """
@@ -416,8 +420,8 @@ def _(spark, sf):
 
 BASE_SQL = "base AS (SELECT title AS role, 'baseline' AS source, CAST(1125000 AS BIGINT) AS estimated_min, CAST(1500000 AS BIGINT) AS estimated_median, CAST(1880000 AS BIGINT) AS estimated_max, 0.3::DOUBLE AS confidence, CAST(0 AS BIGINT) AS sample_size FROM occupations)"
 MARKET_SQL = f"""{POSTED_SQL.replace('FROM jobs)', "FROM jobs WHERE role NOT LIKE 'cloud%')", 1)}, {HIST_SQL.replace('WHERE salary_min IS NOT NULL', "WHERE salary_min IS NOT NULL AND role NOT LIKE '%nurse'")}, {BASE_SQL.replace('1125000', '1130000')},
-src AS (SELECT 1 AS pri, * FROM posted UNION ALL SELECT 4, * FROM hist UNION ALL SELECT 5, * FROM base),
-market AS (SELECT * EXCLUDE (i, pri) FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY pri) AS i FROM src) WHERE i = 1)"""
+src AS (SELECT 1 AS pri, * EXCLUDE (source) FROM posted UNION ALL SELECT 4, * EXCLUDE (source) FROM hist UNION ALL SELECT 5, * EXCLUDE (source) FROM base),
+market AS (SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY pri) AS i FROM src) WHERE i = 1)"""
 
 
 def market(spark, sf):
@@ -429,7 +433,7 @@ def market(spark, sf):
     return sal.market_estimate(occ, [seen, hist, base], ["role"])
 
 
-@query("y06_market_estimate", f"WITH {MARKET_SQL} SELECT * FROM market")
+@query("y06_market_estimate")
 def _(spark, sf):
     return market(spark, sf)
 
