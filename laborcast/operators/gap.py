@@ -24,7 +24,6 @@ def required_skills(role_skills: DataFrame, skills: DataFrame, lookup: DataFrame
 RANK_DECAY, TOP_RANKED = 0.15, 3
 ADJACENT_CREDIT, COVERAGE_WEIGHT, EXPERIENCE_WEIGHT, SMOOTHING = 0.40, 0.85, 0.15, 1.0
 MATCH_AT, ADJACENT_AT = 0.92, 0.82
-SOURCES = ["skill_importance", "m1_weights", "knowledge_graph"]
 
 
 def with_importance(required: DataFrame, weight: str = "weight") -> DataFrame:

@@ -29,7 +29,7 @@ def lens_sql() -> dict[str, str | tuple[str, str]]:
             SELECT DISTINCT o.o_custkey AS candidate_id, s.id AS skill_id,
               CASE l.l_linenumber % 4 WHEN 0 THEN 'work_supported' WHEN 1 THEN 'project_supported' WHEN 2 THEN 'resume_mentioned' ELSE 'self_reported' END AS evidence
             FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
-            JOIN skills s ON s.load_id = l.l_partkey % {N} WHERE l.l_linenumber <= 5""",
+            JOIN skills s ON s.load_id = l.l_partkey % {N}""",
         "candidate_claims": """
             SELECT DISTINCT candidate_id, skill_id, 1 + (candidate_id + length(skill_id)) % 5 AS claimed
             FROM candidate_evidence WHERE (candidate_id + length(skill_id)) % 3 = 0""",

@@ -1,7 +1,7 @@
-"""Session defaults and the lineage cut shared by iterative jobs."""
+"""Session defaults."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "laborcast", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
@@ -23,14 +23,3 @@ def get_session(app: str = "laborcast", master: str | None = None, conf: dict[st
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder named by ``spark.checkpoint.dir``; unchanged where none is set."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not shared:
-            return df
-        spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
