@@ -5,7 +5,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +24,18 @@ def crc_fold(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the cluster's checkpoint folder and read again, so that what follows
-    neither repeats the work before nor depends on a single executor.
-
-    The folder is ``spark.checkpoint.dir``; one of its own is set only where the session has none.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that all executors share; one of its own only where the session has none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` written to the cluster's checkpoint folder and read again, so that what follows
+    neither repeats the work before nor depends on a single executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

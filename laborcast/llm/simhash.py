@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,10 +141,9 @@ def _split(values: np.ndarray, start: np.ndarray, end: np.ndarray, bit: np.ndarr
         lo = np.where(open_ & ~one, middle + 1, lo)
 
 
-def _stars(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index that each of ``n`` nodes reaches."""
+def _least_labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest index that each of ``n`` nodes reaches over the edges."""
     label = np.arange(n)
-    x, y = (np.concatenate(p) for p in zip(*pairs))
     while True:
         least = np.minimum(label[x], label[y])
         before = label.copy()
@@ -156,86 +155,133 @@ def _stars(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
+def spanning(n: int, x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Indices of the edges of a spanning forest of least cost (Boruvka's rounds; of equal costs the first edge)."""
+    order = np.argsort(cost, kind="stable")
+    x, y, rank = x[order], y[order], np.arange(len(order))
+    label, chosen = np.arange(n), []
+    while True:
+        a, b = label[x], label[y]
+        open_ = a != b
+        if not open_.any():
+            return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+        x, y, rank, a, b = x[open_], y[open_], rank[open_], a[open_], b[open_]
+        best = np.full(n, len(order))
+        np.minimum.at(best, a, rank)
+        np.minimum.at(best, b, rank)
+        picked = np.unique(best[best < len(order)])
+        chosen.append(picked)
+        at = np.searchsorted(rank, picked)
+        label = _least_labels(n, a[at], b[at])[label]
+
+
+def _forest(values: np.ndarray, starts: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of values of one group that differ in up to ``distance`` bits: of all such pairs a spanning forest of the nearest."""
+    x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def reduced(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        for more in held:
+            x, y = np.append(x, more[0]), np.append(y, more[1])
+        keep = spanning(len(values), x, y, np.bitwise_count(values[x] ^ values[y]))
+        return x[keep], y[keep]
+
+    for pair in trie_pairs(values, starts, distance):
+        held.append(pair)
+        if sum(len(p[0]) for p in held) > 2 * FRONTIER:
+            x, y = reduced(x, y)
+            held.clear()
+    return reduced(x, y) if held else (x, y)
+
+
 def _join_groups(distance: int):
-    """Links inside sorted groups; the rows of a group above GROUP are handed on instead."""
-    def linked(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        values = fp.view(np.uint64)
-        order = np.lexsort((values, key, mask))
-        values, key, mask = values[order], key[order], mask[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (mask[1:] != mask[:-1]))
-        pairs = list(trie_pairs(values, np.flatnonzero(new), distance))
-        if pairs:
-            label = _stars(len(values), pairs)
-            moved = np.flatnonzero(label != np.arange(len(values)))
-            yield values[moved].view(np.int64), values[label[moved]].view(np.int64)
+    """Links inside groups, from rows (which, key, fp) sorted by all three; the rows of a group above GROUP are handed on."""
+    names = ["which", "a", "b", "linked"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(held):
-            for a, b in linked(*(np.concatenate(x) for x in zip(*held))):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b)], names=["mask", "a", "b"])
+    def links(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        which, key, values = (np.concatenate(x) for x in zip(*held))
+        values = values.view(np.uint64)
+        order = np.lexsort((values, key, which))
+        which, key, values = which[order], key[order], values[order]
+        a, b = _forest(values, np.flatnonzero(_changes(which, key)), distance)
+        return pa.RecordBatch.from_arrays([pa.array(which[a]), pa.array(values[a].view(np.int64)), pa.array(values[b].view(np.int64)), pa.array(np.ones(len(a), bool))], names=names)
 
-        def deferred(mask, fp):
-            return pa.RecordBatch.from_arrays([pa.array(mask), pa.array(fp), pa.nulls(len(fp), pa.int64())], names=["mask", "a", "b"])
+    def deferred(which: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(which), pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(np.zeros(len(fp), bool))], names=names)
 
-        held, size, last, large = [], 0, None, False  # whole groups, then the rows so far of the last group
-        tail: list[tuple[np.ndarray, ...]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0  # whole groups
+        tail: list[tuple[np.ndarray, ...]] = []  # what there is so far of the last group
+        last, large = None, False
         for batch in batches:
-            mask, key, fp = (batch.column(i).to_numpy() for i in range(3))
-            if not len(mask):
+            columns = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(columns[0]):
                 continue
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (mask[1:] != mask[:-1])))
-            for start, end in ((starts[0], starts[1] if len(starts) > 1 else len(mask)), *([(starts[1], starts[-1])] if len(starts) > 2 else []), *([(starts[-1], len(mask))] if len(starts) > 1 else [])):
-                if start == end:
+            starts = np.flatnonzero(_changes(*columns[:2]))
+            edges = [*starts[:2], *starts[-1:], len(columns[0])]  # the first group, those between, the last group
+            for start, end in zip(edges, edges[1:]):
+                if start >= end:
                     continue
-                part = (mask[start:end], key[start:end], fp[start:end])
-                if last != (mask[start], key[start]):
-                    if tail and not large:
+                which, key, fp = part = tuple(c[start:end] for c in columns)
+                if last != (which[0], key[0]):
+                    if not large:
                         held += tail
                         size += sum(len(t[0]) for t in tail)
                     tail, large = [], False
                     if size >= GROUP:
-                        yield from links(held)
+                        yield links(held)
                         held, size = [], 0
+                last = (which[-1], key[-1])
                 if large:
-                    yield deferred(part[0], part[2])
-                else:
-                    tail.append(part)
-                    many = start == starts[-1] or start == 0 and len(starts) == 1 or start == starts[0]
-                    if many and sum(len(t[0]) for t in tail) > GROUP:
-                        for t in tail:
-                            yield deferred(t[0], t[2])
-                        tail, large = [], True
-                last = (mask[end - 1], key[end - 1])
-        if tail and not large:
+                    yield deferred(which, fp)
+                    continue
+                tail.append(part)
+                if last == (which[0], key[0]) and sum(len(t[0]) for t in tail) > GROUP:
+                    for t in tail:
+                        yield deferred(t[0], t[2])
+                    tail, large = [], True
+        if not large:
             held += tail
         if held:
-            yield from links(held)
+            yield links(held)
 
     return run
 
 
+def _changes(which: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return np.append(True, (key[1:] != key[:-1]) | (which[1:] != which[:-1]))
+
+
 def fingerprint_links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column ``fingerprint``) that differ in ``distance`` bits or fewer.
+    """(tab, a, b): links between distinct fingerprints of one table that differ in ``distance`` bits or fewer.
 
-    The links join the same fingerprints as all such pairs do, but a group of many near fingerprints gives one link for
-    each, not one for each pair. Groups above GROUP are divided by a further block of bits, round by round, until the
-    bits left free bound their size, so no task holds a large group and nothing is left out.
+    ``fingerprints`` has the columns tab (an int below 100) and fingerprint. The links join the same fingerprints as all
+    such pairs do, and each is such a pair; but a group of many near fingerprints gives a spanning forest of its nearest
+    pairs, not every pair. Groups above GROUP are divided by a further block of bits, round by round, until the bits left
+    free bound their size, so no task holds a large group and nothing is left out.
     """
-    rows = fingerprints.select(F.col("fingerprint").alias("fp")).where("fp is not null").distinct()
-    masks = F.array(*[F.lit(_signed(m)) for m in first_masks(distance)])
-    keyed = rows.select(F.explode(masks).alias("mask"), "fp")
+    masks = first_masks(distance)
+    rows = fingerprints.select("tab", F.col("fingerprint").alias("fp")).where("fp is not null").distinct()
+    keyed = rows.select(F.explode(F.array(*[F.lit(100 * i) for i in range(len(masks))])).alias("m"), "tab", "fp").select((F.col("m") + F.col("tab")).cast("long").alias("which"), "fp")
     done: DataFrame | None = None
     while True:
-        keyed = keyed.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        found = cut(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_join_groups(distance), "mask long, a long, b long"))
-        links = found.where("mask is null").select("a", "b")
+        mask = F.array(*[F.lit(_signed(m)) for m in masks])[F.floor(F.col("which") / 100).cast("int")]
+        keyed = keyed.withColumn("key", F.col("fp").bitwiseAND(mask)).select("which", "key", "fp")
+        found = cut(keyed.repartition("which", "key").sortWithinPartitions("which", "key").mapInArrow(_join_groups(distance), "which long, a long, b long, linked boolean"))
+        links = found.where("linked").select((F.col("which") % 100).alias("tab"), "a", "b")
         done = links if done is None else done.unionAll(links)
-        rest = found.where("mask is not null")
-        left = [r.mask for r in rest.select("mask").distinct().collect()]  # a few masks, not rows
+        rest = found.where("NOT linked")
+        left = sorted(r.m for r in rest.select(F.floor(F.col("which") / 100).cast("int").alias("m")).distinct().collect())  # a few masks, not rows
         if not left:
             return done.distinct()
-        finer = F.create_map(*[x for m in left for x in (F.lit(m), F.array(*[F.lit(_signed(k)) for k in finer_masks(m % (1 << 64), distance)]))])
-        keyed = rest.select(F.explode(finer[F.col("mask")]).alias("mask"), F.col("a").alias("fp"))
+        finer, number = [], []
+        for m in left:
+            own = finer_masks(masks[m], distance)
+            number += [F.lit(m), F.array(*[F.lit(100 * (len(finer) + i)) for i in range(len(own))])]
+            finer += own
+        masks = finer
+        keyed = rest.select(F.explode(F.create_map(*number)[F.floor(F.col("which") / 100).cast("int")]).alias("m"), (F.col("which") % 100).alias("tab"), F.col("a").alias("fp"))
+        keyed = keyed.select((F.col("m") + F.col("tab")).cast("long").alias("which"), "fp")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = DISTANCE) -> DataFrame:
@@ -247,10 +293,110 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     prints = cut(with_fingerprints(docs.select(F.col(key), F.col(text)), text, width).select(key, "fingerprint"))
     classes = prints.groupBy("fingerprint").agg(F.min(key).alias("least"))
-    roots = components(fingerprint_links(classes, distance), "a", "b")
+    roots = components(fingerprint_links(classes.withColumn("tab", F.lit(0)), distance), "a", "b")
     members = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint")
     groups = members.groupBy("root").agg(F.min("least").alias("component"))
     moved = members.join(groups, "root").select("fingerprint", "component")
     alone = classes.select("fingerprint", "least").join(moved, "fingerprint", "left")
-    component = alone.select("fingerprint", F.coalesce("component", "least").alias("component"))
+    component = cut(alone.select("fingerprint", F.coalesce("component", "least").alias("component")))  # so that the join can split a hot fingerprint
     return prints.join(component, "fingerprint").select(key, "fingerprint", "component")
+
+
+#: The second use, :func:`deduplicated`: independent fingerprints of the sets of words, in as many tables, bring together
+#: texts that differ in a few words; which of them are near duplicates is then decided on the texts.
+TABLES, SHINGLE, SIMILAR = 8, 5, 0.8
+_SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(TABLES)], dtype=np.uint64)
+
+
+def word_prints(text: str) -> np.ndarray:
+    """One fingerprint for each table, of the set of words in lower case (A-Z only); all zero without words."""
+    words = set(text.encode("utf-8", "surrogatepass").lower().split())
+    ones = np.zeros((TABLES, 64), dtype=np.int64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    for start in range(0, len(h), 4096):
+        x = h[start:start + 4096] ^ _SEEDS[:, None]
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x ^= x >> np.uint64(32)
+        ones += np.unpackbits(x.astype(">u8").view(np.uint8).reshape(TABLES, -1, 8), axis=2).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1).view(">u8").ravel().astype(np.uint64) if len(h) else np.zeros(TABLES, np.uint64)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of SHINGLE words in lower case; fewer words are one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    width = max(1, min(SHINGLE, len(words)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(w), 7) for w in zip(*(words[i:] for i in range(width)))), np.uint64)).view(np.int64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct values; 1 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _digest(text: str):
+    return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+
+
+def near_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): nodes whose texts have a similarity of SIMILAR or more, found by fingerprints near each other.
+
+    ``prints`` has node and prints (one for each table), ``texts`` has node and text, once for each node at least. Equal
+    fingerprints are linked in a chain, near ones by :func:`fingerprint_links`; the texts decide.
+    """
+    tables = cut(prints.select("node", F.posexplode("prints").alias("tab", "fingerprint")))
+    same = Window.partitionBy("tab", "fingerprint").orderBy("node")
+    chain = tables.withColumn("b", F.lag("node").over(same)).where("b is not null").select(F.col("node").alias("a"), "b")
+    names = tables.groupBy("tab", "fingerprint").agg(F.min("node").alias("node"))
+    links = fingerprint_links(names)
+    for end in ("a", "b"):
+        links = links.join(names.select("tab", F.col("fingerprint").alias(end), F.col("node").alias(f"node_{end}")), ["tab", end])
+    pairs = links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionAll(chain)
+    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t) for t in own], pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    sets = texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, shingles array<long>")
+    sets = cut(sets.dropDuplicates(["node"]))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            near = [similarity(p.values.to_numpy(), q.values.to_numpy()) >= SIMILAR for p, q in zip(x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group of near duplicates: that with the smallest key, of equal keys any one.
+
+    Texts are linked if their sets of shingles of SHINGLE words (lower case, A-Z only) have a similarity of SIMILAR or
+    more, and a group is what links reach; equal texts, null and empty ones together, are one from the start. A null key
+    counts as larger than any other. The columns stay as they are; no rows give no rows.
+    """
+    number = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
+    rows = docs.select(number.alias("k"), _digest(text).alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in slices(batches, "text"):
+            prints = pa.array([word_prints(t).view(np.int64) for t in own], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], prints], names=["k", "digest", "prints"])
+
+    prints = rows.mapInArrow(printed, "k long, digest string, prints array<long>")
+    nodes = cut(prints.groupBy("digest").agg(F.min("k").alias("k"), F.first("prints").alias("prints")).withColumn("node", F.xxhash64("digest")))
+    texts = rows.join(nodes.select("digest", "k", "node"), ["digest", "k"]).select("node", "text")
+    roots = components(near_links(nodes.select("node", "prints"), texts), "a", "b")
+    grouped = cut(nodes.select("digest", "k", "node").join(roots, "node"))
+    first = grouped.groupBy("root").agg(F.min(F.struct("k", "digest")).alias("first"))
+    gone = grouped.join(first, "root").where(F.struct("k", "digest") != F.col("first")).select("digest")
+    kept = cut(nodes.select("digest", "k").join(gone, "digest", "left_anti"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.select(*columns, _digest(text).alias("__digest"), number.alias("__k"))
+    kept = kept.select(F.col("digest").alias("__digest"), F.col("k").alias("__k"))
+    # Copies of the row kept are few unless rows repeat as a whole; of those one stays.
+    return named.join(kept, ["__digest", "__k"], "left_semi").dropDuplicates(["__digest", "__k"]).select(*columns)

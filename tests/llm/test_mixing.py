@@ -44,10 +44,10 @@ def test_held_out_posteriors(spark):
 
 def test_copies_follow_the_rates(spark):
     frame = spark.createDataFrame([(i, "x", 0, [1.0], float(i % 4) / 2 + .25) for i in range(4000)], "doc_id long, text string, n_tokens long, posterior array<double>, rate double")
-    out = copies(frame)
+    out = copies(frame, ["doc_id", "text"])
     assert out.columns == ["doc_id", "text"]
     assert abs(out.count() - 4000) < 120
-    assert copies(frame, most=1).groupBy("doc_id").count().where("count > 1").count() == 0
+    assert copies(frame, ["doc_id"], most=1).groupBy("doc_id").count().where("count > 1").count() == 0
 
 
 def test_edge_rows(spark):

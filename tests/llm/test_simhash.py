@@ -61,10 +61,10 @@ def test_links_join_what_brute_force_joins(spark, monkeypatch, group):
             base ^= 1 << rng.randrange(64)
         values.add(base)
     signed = {v: int(np.uint64(v).astype(np.int64)) for v in values}
-    links = fingerprint_links(spark.createDataFrame([(v,) for v in signed.values()], "fingerprint long")).collect()
+    links = fingerprint_links(spark.createDataFrame([(v, 0) for v in signed.values()], "fingerprint long, tab int")).collect()
     for r in links:
-        assert r.a != r.b
-    roots = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+        assert 0 < ((r.a ^ r.b) % (1 << 64)).bit_count() <= 3
+    roots = {r.node: r.root for r in components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long"), "a", "b").collect()}
     expected = brute_components({s: v for v, s in signed.items()})
     assert {s: roots.get(s, s) for s in signed.values()} == expected
 
@@ -83,3 +83,46 @@ def test_edge_rows(spark):
     got = near_duplicates(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.doc_id or -1, r.component) for r in got) == [(-1, 3), (3, 3), (3, 3), (4, 4), (5, 4), (9, 9)]
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
+
+
+def jaccard(a, b):
+    sets = [{" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1
+
+
+def test_deduplication_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rng = random.Random(2)
+    for i, k in enumerate(rng.sample(sorted(k for k in docs if len(docs[k].split()) > 60), 40)):
+        words = docs[k].split()
+        for _ in range(max(1, len(words) // 60)):
+            words[rng.randrange(len(words))] = f"edit{i}"
+        docs[1000 + i] = " ".join(words)
+    root = {k: k for k in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(docs)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if jaccard(docs[a], docs[b]) >= .8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    expected = {k for k in docs if find(k) == k}
+    out = simhash.deduplicated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    got = [r.doc_id for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert len(expected) < len(docs) - 30
+
+
+def test_deduplication_of_edge_rows(spark):
+    schema = "doc_id long, text string, digest string, k int, __x int"
+    rows = [(5, None, "x", 1, 1), (4, "", None, None, 1), (3, "a b c", "q", 1, 1), (3, "a b c", "q", 1, 1), (7, "A B  c", "q", 1, 1), (9, "one two three four " * 50_000, "x", 2, 1), (None, "a b c d", "x", 2, 1), (None, "only", "x", 2, 1)]
+    frame = spark.createDataFrame(rows, schema)
+    out = simhash.deduplicated(frame)
+    assert out.columns == frame.columns
+    assert sorted((r.doc_id or 0, r.text[:7]) for r in out.collect()) == [(0, "a b c d"), (0, "only"), (3, "a b c"), (4, ""), (9, "one two")]
+    assert simhash.deduplicated(frame.limit(0)).count() == 0
