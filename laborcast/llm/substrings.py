@@ -9,6 +9,7 @@ smallest document, so the first string that has a window also has the smallest d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 from zlib import crc32
 
 import numpy as np
@@ -22,6 +23,9 @@ from .shared import extended, slices, with_columns, without
 WIDTH, RUN = 13, 5
 #: Distinct windows that a task remembers of one bucket; windows beyond go on by themselves and are counted by a second grouping.
 REMEMBERED = 200_000
+#: Windows that one packed string has at most, so that a text of one repeated word is not one row.
+LONGEST = 4096
+_SHIFT = 20  # a span of words is start << _SHIFT | length
 _LAST = (1 << 63) - 1
 
 
@@ -49,8 +53,12 @@ def minimisers(words: list[bytes]) -> np.ndarray:
 
 def segments(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first window, window after the last) of each run of windows with one minimiser."""
-    start = np.flatnonzero(np.append(True, least[1:] != least[:-1])) if len(least) else np.zeros(0, np.int64)
-    return start, np.append(start[1:], len(least)).astype(np.int64)
+    if not len(least):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    if len(start) * LONGEST < len(least):
+        start = np.union1d(start, np.arange(0, len(least), LONGEST))
+    return start, np.append(start[1:], len(least))
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,64 +116,89 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(found)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, least, packed, docs, rids, starts) from (doc, rid, text, buckets): the super-k-mers of shared minimisers.
+def _packed(text: str):
+    """Rows (bucket, least, packed, places) of the super-k-mers of shared minimisers, from rows with a text that end in
+    doc, buckets.
 
-    Equal strings of one part become one row with the lists of where they start, by document.
+    Equal strings of one part become one row; places has document, row and first word of each, by document.
     """
-    for part, texts in slices(batches, "text", 32 << 20):
-        docs, rids, lists = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
-        places: dict[tuple[int, bytes], list[int]] = {}
-        for i, text in enumerate(texts):
-            words = text.encode("utf-8", "surrogatepass").split()
-            least = minimisers(words)
-            start, end = segments(least)
-            wanted = np.isin(least[start], lists[i].values.to_numpy())
-            for a, b in zip(start[wanted].tolist(), end[wanted].tolist()):
-                places.setdefault((int(least[a]), b" ".join(words[a:b + WIDTH - 1])), []).append((docs[i], rids[i], a))
-        if not places:
-            continue
-        rows = [sorted(v) for v in places.values()]
-        flat = np.array([x for v in rows for x in v], dtype=np.int64).reshape(-1, 3)
-        ends = pa.array(np.append(0, np.cumsum([len(v) for v in rows])), pa.int32())
-        yield pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in places], pa.int64()), pa.array([v[0][0] for v in rows], pa.int64()), pa.array([k[1].decode() for k in places], pa.string()),
-            *[pa.ListArray.from_arrays(ends, pa.array(flat[:, c])) for c in range(3)]], names=["bucket", "least", "packed", "docs", "rids", "starts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, text, 32 << 20):
+            column = part.schema.get_field_index
+            rids, docs, lists = (part.column(column(c)).to_pylist() for c in ("__rid", "__doc", "__buckets"))
+            places: dict[tuple[int, str], list[tuple[int, int, int]]] = {}
+            for t, rid, doc, shared in zip(texts, rids, docs, lists):
+                words = t.encode("utf-8", "surrogatepass").split()
+                least, wanted = minimisers(words), set(shared)
+                start, end = segments(least)
+                for bucket, a, b in zip(least[start].tolist(), start.tolist(), end.tolist()):
+                    if bucket in wanted:
+                        places.setdefault((bucket, b" ".join(words[a:b + WIDTH - 1]).decode("utf-8", "surrogatepass")), []).append((doc, rid, a))
+            if not places:
+                continue
+            rows = [sorted(v) for v in places.values()]
+            flat = np.array([x for v in rows for place in v for x in place], dtype=np.int64)
+            ends = np.append(0, 3 * np.cumsum([len(v) for v in rows]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in places], pa.int64()), pa.array(flat[ends[:-1]]), pa.array([k[1] for k in places], pa.string()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["bucket", "least", "packed", "places"])
+
+    return run
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rid, doc, start, end, window) from packed rows sorted by bucket and smallest document.
+    """Rows (route, rid, span, doc, window) from packed rows sorted by bucket and smallest document.
 
-    Without a window a row is a span of words to remove. With one it is a window that the task could not remember; the
-    document is then one that has it, and whether it stays is found by grouping those rows.
+    Without a window a row is a span of words to remove, on its way to its own row. With one it is a window that the task
+    could not remember, on its way to where equal windows meet.
     """
     bucket, seen = None, {}
     for batch in batches:
-        out: list[tuple] = []
-        columns = [batch.column(i) for i in range(6)]
-        for i, (own, least, packed) in enumerate(zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2].to_pylist())):
+        ends, values = batch.column(3).offsets.to_pylist(), batch.column(3).values.to_pylist()
+        rids, spans, loose = [], [], []
+        for i, (own, least, packed) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
             if own != bucket:
                 bucket, seen = own, {}
             words = packed.split(" ")
-            docs, rids, starts = (columns[c][i].values.to_pylist() for c in (3, 4, 5))
-            windows = [" ".join(words[j:j + WIDTH]) for j in range(len(words) - WIDTH + 1)]
             firsts = []
-            for w in windows:
+            for j in range(len(words) - WIDTH + 1):
+                w = " ".join(words[j:j + WIDTH])
                 first = seen.get(w)
-                if first is None and len(seen) < REMEMBERED:
-                    first = seen[w] = least
+                if first is None:
+                    if len(seen) < REMEMBERED:
+                        first = seen[w] = least
+                    else:
+                        for k in range(ends[i], ends[i + 1], 3):
+                            loose.append((values[k + 1], _span(values[k + 2] + j, values[k + 2] + j + WIDTH), values[k], w))
                 firsts.append(first)
             later = _runs([f is not None for f in firsts])
             earlier = _runs([f is not None and f < least for f in firsts])
-            unknown = [j for j, f in enumerate(firsts) if f is None]
-            for d, r, s in zip(docs, rids, starts):
-                for a, b in later if d > least else earlier:
-                    out.append((r, d, s + a, s + b + WIDTH - 1, None))
-                for j in unknown:
-                    out.append((r, d, s + j, s + j + WIDTH, windows[j]))
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["rid", "doc", "start", "end", "window"])
+            for k in range(ends[i], ends[i + 1], 3):
+                for a, b in later if values[k] > least else earlier:
+                    rids.append(values[k + 1])
+                    spans.append(_span(values[k + 2] + a, values[k + 2] + b + WIDTH - 1))
+        routes = rids + [crc32(x[3].encode("utf-8", "surrogatepass")) for x in loose]
+        more = list(zip(*loose)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        columns = (routes, rids + list(more[0]), spans + list(more[1]), [None] * len(rids) + list(more[2]), [None] * len(rids) + list(more[3]))
+        if routes:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], names=["route", "rid", "span", "doc", "window"])
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rid, span) of the spans, and of the windows that an earlier document has, from judged rows sorted by route, window, document."""
+    window, first = None, 0
+    for batch in batches:
+        keep = []
+        for w, doc in zip(batch.column(4).to_pylist(), batch.column(3).to_pylist()):
+            if w is not None and w != window:
+                window, first = w, doc
+            keep.append(w is None or doc > first)
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], names=["rid", "span"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _span(start: int, end: int) -> int:
+    return start << _SHIFT | end - start
 
 
 def _runs(flags: list[bool]) -> list[tuple[int, int]]:
@@ -181,45 +214,45 @@ def _runs(flags: list[bool]) -> list[tuple[int, int]]:
 
 
 def _cleaned(text: str):
-    """From columns that end in doc and spans: those before with kept, n_words and n_removed."""
+    """The rows up to their last three columns (rid, doc, spans) with kept, n_words and n_removed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, text):
-            yield _without_spans(part, texts)
+            kept, total, removed = [], [], []
+            for t, spans in zip(texts, part.column(part.num_columns - 1)):
+                words = t.encode("utf-8", "surrogatepass").split()
+                total.append(len(words))
+                if not spans.is_valid:
+                    removed.append(0)
+                    kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+                    continue
+                found = spans.values.to_numpy()
+                start = found >> _SHIFT
+                change = np.zeros(len(words) + 1, dtype=np.int64)
+                np.add.at(change, start, 1)
+                np.add.at(change, start + (found & ((1 << _SHIFT) - 1)), -1)
+                stays = np.cumsum(change[:-1]) == 0
+                removed.append(len(words) - int(stays.sum()))
+                kept.append(b" ".join(compress(words, stays.tolist())).decode("utf-8", "surrogatepass"))
+            plain = pa.RecordBatch.from_arrays(part.columns[:-3], names=part.schema.names[:-3])
+            yield with_columns(plain, kept=pa.array(kept, pa.string()), n_words=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()))
 
     return run
 
 
-def _without_spans(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
-    docs, spans = part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-    kept, total, removed = [], [], []
-    for text, doc, found in zip(texts, docs, spans):
-        words = text.encode("utf-8", "surrogatepass").split()
-        change = np.zeros(len(words) + 1, dtype=np.int64)
-        for span in found or []:
-            if span["doc"] == doc:
-                change[span["start"]] += 1
-                change[span["end"]] -= 1
-        covered = np.cumsum(change[:-1]) > 0
-        n = int(covered.sum())
-        kept.append((b" ".join(words) if n == 0 else b" ".join(w for w, c in zip(words, covered.tolist()) if not c)).decode("utf-8", "surrogatepass"))
-        total.append(len(words))
-        removed.append(n)
-    plain = pa.RecordBatch.from_arrays(part.columns[:-2], names=part.schema.names[:-2])
-    return with_columns(plain, kept=pa.array(kept, pa.string()), n_words=pa.array(total, pa.int64()), n_removed=pa.array(removed, pa.int64()))
-
-
-def spans(rows: DataFrame) -> DataFrame:
-    """(rid, doc, start, end): words to remove, from (doc, rid, text)."""
-    route = lambda df, *sort: df.repartition(sort[0]).sortWithinPartitions(*sort)
-    census = rows.select("rid", "text").mapInArrow(_census, "route long, bucket long, rid long, state byte")
-    shared = route(census, "route", "bucket", F.desc("state")).mapInArrow(_shared, "rid long, bucket long")
-    lists = shared.groupBy("rid").agg(F.collect_set("bucket").alias("buckets"))  # no more than the document has windows
-    packed = rows.join(lists, "rid").select("doc", "rid", "text", "buckets").mapInArrow(
-        _packed, "bucket long, least long, packed string, docs array<long>, rids array<long>, starts array<long>")
-    judged = route(packed, "bucket", "least").mapInArrow(_judged, "rid long, doc long, start long, end long, window string")
-    loose = judged.where("window is not null")
-    first = loose.groupBy("window").agg(F.min("doc").alias("first"))
-    return judged.where("window is null").drop("window").unionAll(loose.join(first, "window").where("doc > first").select("rid", "doc", "start", "end"))
+def _sorted(rows: DataFrame, key: str, *then: str | Column) -> DataFrame:
+    return rows.repartition(key).sortWithinPartitions(key, *then)
+
+
+def spans(keyed: DataFrame, text: str) -> DataFrame:
+    """(__rid, __spans): the words to remove, for rows with a text, __rid and __doc."""
+    census = keyed.select(F.col("__rid").alias("rid"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(_census, "route long, bucket long, rid long, state byte")
+    shared = _sorted(census, "route", "bucket", F.desc("state")).mapInArrow(_shared, "rid long, bucket long")
+    lists = shared.repartition("rid").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("bucket").alias("__buckets"))  # no more than a text has windows
+    # All columns go into the task, so that this join and the last one read the same exchange of the texts.
+    packed = keyed.join(lists, "__rid").select(*[F.col(f"`{c}`") for c in keyed.columns], "__buckets").mapInArrow(_packed(text), "bucket long, least long, packed string, places array<long>")
+    judged = _sorted(packed, "bucket", "least").mapInArrow(_judged, "route long, rid long, span long, doc long, window string")
+    settled = _sorted(judged, "route", "window", "doc").mapInArrow(_settled, "rid long, span long")
+    return settled.repartition("rid").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list("span").alias("__spans"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,15 +261,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A word goes if a window of WIDTH words covers it whose words also start in a document with a smaller key. Windows are
     those of the input, so what one document loses has no effect on another. A null or empty text has no words. A null
     key counts as larger than all others, so of two such documents neither is the earlier one. Rows with equal keys are
-    documents of their own, none earlier than the other; equal rows get equal results. No rows give no rows.
+    documents of their own, none earlier than the other; equal rows get equal results. No rows give no rows. Spans find
+    their row by a 64-bit hash of key and text.
     """
     source = without(docs, "kept", "n_words", "n_removed")
     number: Column = F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
-    plain = F.coalesce(F.col(text), F.lit(""))
-    rows = source.select(number.alias("doc"), F.xxhash64(number, plain).alias("rid"), plain.alias("text"))
-    found = spans(rows).groupBy("rid").agg(F.collect_list(F.struct("doc", "start", "end")).alias("__spans"))
     columns = [F.col(f"`{c}`") for c in source.columns]
-    keyed = source.select(*columns, number.alias("__doc"), F.xxhash64(number, plain).alias("__rid"))
-    joined = keyed.join(found.withColumnRenamed("rid", "__rid"), "__rid", "left").select(*columns, "__doc", "__spans")
+    keyed = source.select(*columns, F.xxhash64(number, F.coalesce(text, F.lit(""))).alias("__rid"), number.alias("__doc"))
+    joined = keyed.join(spans(keyed, text), "__rid", "left").select(*columns, "__rid", "__doc", "__spans")
     schema = extended(source, T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()))
     return joined.mapInArrow(_cleaned(text), schema)
