@@ -44,11 +44,11 @@ def pairs_in_market(requests: DataFrame, jobs: DataFrame) -> DataFrame:
 
 # --- market profile -------------------------------------------------------------------------------
 
-def market_profile(job_skills: DataFrame, by: list[str], *, k: int = PROFILE_TOP) -> DataFrame:
-    """Share of a market's jobs asking for each skill, the ``k`` most asked."""
+def market_profile(job_skills: DataFrame, by: list[str], *, k: int | None = PROFILE_TOP) -> DataFrame:
+    """Share of a market's jobs asking for each skill, the ``k`` most asked (A18), or all of them without a position."""
     counts = job_skills.groupBy(*by, "skill_id").agg(F.count_distinct("job_id").alias("jobs"))
     totals = job_skills.groupBy(*by).agg(F.count_distinct("job_id").alias("jobs_analysed"))
-    return top_k(counts, by, [F.desc("jobs"), F.asc("skill_id")], k).join(totals, by) \
+    return (counts if k is None else top_k(counts, by, [F.desc("jobs"), F.asc("skill_id")], k)).join(totals, by) \
         .withColumn("share", F.round(F.col("jobs") / F.col("jobs_analysed"), 3))
 
 
@@ -59,10 +59,13 @@ def is_broad(skill: Column, flag: Column | None = None) -> Column:
 
 
 def concrete_children(profile: DataFrame, closure: DataFrame, by: list[str], broad: Column) -> DataFrame:
-    """Concrete skills of a market at most two levels under each category, most asked first."""
+    """Concrete skills of a market at most two levels under each category, most asked first.
+
+    ``profile`` should have every skill of the market, not only the most asked.
+    """
     under = closure.where("depth <= 2").select(F.col("ancestor").alias("category"), F.col("id").alias("skill_id"))
     return profile.where(~broad).join(under, "skill_id").select(
-        *by, "category", "skill_id", F.row_number().over(W.partitionBy(*by, "category").orderBy(F.desc("share"), F.asc("skill_id"))).alias("position"))
+        *by, "category", "skill_id", F.row_number().over(W.partitionBy(*by, "category").orderBy(F.desc("share"), F.desc("jobs"), F.asc("skill_id"))).alias("position"))
 
 
 def infer_skills(jobs: DataFrame, job_skills: DataFrame, profile: DataFrame, broad: Column) -> DataFrame:

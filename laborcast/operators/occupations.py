@@ -206,7 +206,10 @@ def rank_careers(df: DataFrame, by: list[str], *, weights: dict[str, float] | No
 # --- evidence and graph -------------------------------------------------------------------------
 
 def evidence(df: DataFrame) -> DataFrame:
-    """Adds ``drivers``: the sentences that explain an outlook (O09). Needs ``top_skills`` as an array."""
+    """Adds ``drivers``: the sentences that explain an outlook (O09). Needs ``top_skills`` as an array.
+
+    The wording of the sentences is fixed: it is part of the result.
+    """
     total, velocity = F.col("total_postings"), F.col("velocity_ratio")
     auto, aug = F.col("automated"), F.col("augmented")
     home, world = F.size("i_places") > 0, F.size("g_places") > 0
@@ -221,7 +224,7 @@ def evidence(df: DataFrame) -> DataFrame:
         "High augmentation leverage: %d tasks enhanced by generative AI tools, increasing worker productivity rather than substituting roles.", aug))
         .when(auto > 0, F.format_string(
             "Routine task automation: %d tasks exposed to workflow automation, shifting value toward strategic oversight.", auto))
-        .otherwise(F.format_string("Task profile (%d tasks) indicates resilient cognitive and domain-specific problem solving.", F.col("task_count"))))
+        .otherwise(F.format_string("Task profile (%d O*NET tasks) indicates resilient cognitive and domain-specific problem solving.", F.col("task_count"))))
     breadth = (F.when(home & world, F.concat(F.lit("Balanced multi-regional hiring spanning leading Indian tech hubs ("), lead,
                                              F.lit(") and international markets.")))
                .when(home, F.concat(F.lit("Strong domestic Indian market concentration, primarily across "), lead,

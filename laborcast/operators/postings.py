@@ -19,9 +19,10 @@ def unexpired(jobs: DataFrame, now: Column, *, days: int = MAX_AGE_DAYS) -> Data
     return jobs.where(F.col("posted_at").isNull() | (F.col("posted_at").cast("timestamp") >= cutoff))
 
 
-def merge_duplicates(jobs: DataFrame, *, source_order: list[str], donor_source: str) -> DataFrame:
+def merge_duplicates(jobs: DataFrame, *, source_order: list[str], donor_source: str, has_skills: Column | None = None) -> DataFrame:
     """One row per job seen at several sources: the best copy, with a fuller copy's description noted.
 
+    A donor is a copy of ``donor_source`` that has skills to give, where ``has_skills`` tells (all have without it).
     Best: a real salary, any salary, the longer description, then source order. Each key is reduced with partial
     aggregates, so a key with very many copies is combined on the map side first.
     """
@@ -31,7 +32,7 @@ def merge_duplicates(jobs: DataFrame, *, source_order: list[str], donor_source:
     quality = F.struct((F.col("salary_min").isNotNull() & ~F.col("salary_is_predicted")).alias("a"), F.col("salary_min").isNotNull().alias("b"), size.alias("c"),
                        (-order).alias("d"), (-F.col("job_id")).alias("e"))
     row = F.struct(*[F.col(c) for c in jobs.columns])
-    donor = F.when(F.col("source") == donor_source, F.struct(size.alias("n"), F.col("job_id").alias("job_id")))
+    donor = F.when((F.col("source") == donor_source) & (F.lit(True) if has_skills is None else F.coalesce(has_skills, F.lit(False))), F.struct(size.alias("n"), F.col("job_id").alias("job_id")))
     merged = keyed.groupBy("duplicate_key").agg(F.max_by(row, quality).alias("_best"), F.max(donor).alias("_donor"), F.count(F.lit(1)).alias("copies"))
     length = F.length(F.coalesce("_best.description", F.lit("")))
     use = (F.col("_best.source") != donor_source) & (F.col("_donor.n") > length)

@@ -174,8 +174,8 @@ def unified_requirements(parts: list[DataFrame]) -> DataFrame:
 
 def requirements_of(requirements: DataFrame, codes: list[str], *, item_type: str | None = None, limit: int | None = None) -> DataFrame:
     """Requirements of some codes, most important first, NULL importance last."""
-    rows = requirements.join(F.broadcast(requirements.sparkSession.createDataFrame([(c,) for c in codes], "code string")
-                                         .select(canonical_code(F.col("code")).alias("soc_code")).distinct()), "soc_code", "left_semi")
+    wanted = requirements.sparkSession.createDataFrame([(c,) for c in codes], "code string").select(canonical_code(F.col("code")).alias("soc_code")).distinct()
+    rows = requirements.join(wanted, "soc_code", "left_semi")
     rows = rows if item_type is None else rows.where(F.col("item_type") == item_type)
     order = [F.desc(F.coalesce("importance_norm", F.lit(0.0))), F.asc("item_type"), F.asc("item_name")]
     return top_k(rows, ["soc_code"], order, limit) if limit else rows.orderBy("soc_code", *order)

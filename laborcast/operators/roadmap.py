@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 # Difficulty tier -> hours, kind -> share of the hours.
 TIER_HOURS = {1: (10, 25), 2: (30, 60), 3: (60, 120)}
-DEFAULT_TIER, MAX_MILESTONES, MAX_DEPTH = 2, 15, 16
+DEFAULT_TIER = 2
 HALF_KINDS = ["adjacent", "weak"]
 
 
@@ -13,15 +13,17 @@ def prerequisite_paths(skills: DataFrame) -> DataFrame:
     """(id, prerequisite, between, needed_by): every chain of prerequisites below a skill.
 
     ``between`` lists the skills passed on the way and ``needed_by`` the one that asks for the prerequisite directly.
-    The table depends on the taxonomy alone.
+    Broad fields are no prerequisites to learn, so a chain stops before them. The table depends on the taxonomy alone; a
+    chain beyond the session's recursion limit fails.
     """
-    edges = skills.select("id", F.explode("prerequisites").alias("prerequisite"))
-    return skills.sparkSession.sql(f"""
+    broad = skills.where("is_category").select(F.col("id").alias("prerequisite"))
+    edges = skills.select("id", F.explode("prerequisites").alias("prerequisite")).join(broad, "prerequisite", "left_anti").select("id", "prerequisite")
+    return skills.sparkSession.sql("""
         WITH RECURSIVE down (id, prerequisite, between, needed_by, depth) AS (
-          SELECT id, prerequisite, CAST(array() AS array<string>), id, 1 FROM {{edges}}
+          SELECT id, prerequisite, CAST(array() AS array<string>), id, 1 FROM {edges}
           UNION ALL
           SELECT d.id, e.prerequisite, array_append(d.between, d.prerequisite), d.prerequisite, d.depth + 1
-          FROM down d JOIN {{edges}} e ON e.id = d.prerequisite WHERE d.depth < {MAX_DEPTH} AND NOT array_contains(d.between, e.prerequisite))
+          FROM down d JOIN {edges} e ON e.id = d.prerequisite WHERE NOT array_contains(d.between, e.prerequisite))
         SELECT id, prerequisite, between, needed_by FROM down""", edges=edges)
 
 
@@ -39,10 +41,9 @@ def roadmap_items(gaps: DataFrame, profile: DataFrame, skills: DataFrame, closur
         profile.select("candidate_id", F.col("skill_id").alias("id")).join(closure, "id").select("candidate_id", F.col("ancestor").alias("skill_id")))
     known_sets = known.groupBy("candidate_id").agg(F.collect_set("skill_id").alias("_known"))
     root_sets = roots.groupBy(*key).agg(F.collect_set("skill_id").alias("_roots"))
-    broad = skills.where("is_category").agg(F.collect_set("id").alias("_broad_ids"))
-    paths = prerequisite_paths(skills).join(broad)
+    paths = prerequisite_paths(skills)
     chains = roots.where("kind <> 'weak'").join(paths, roots.skill_id == paths.id).join(root_sets, key).join(known_sets, "candidate_id", "left")
-    barred = F.array_union(F.array_union(F.coalesce("_known", F.array().cast("array<string>")), "_roots"), "_broad_ids")
+    barred = F.array_union(F.coalesce("_known", F.array().cast("array<string>")), "_roots")
     open_ = chains.where(~F.arrays_overlap(F.array_append("between", F.col("prerequisite")), barred))
     pulled = open_.groupBy(*key, F.col("prerequisite").alias("skill_id")).agg(
         F.max("importance").alias("importance"), F.array_sort(F.collect_set("needed_by")).alias("required_for")) \
@@ -51,8 +52,12 @@ def roadmap_items(gaps: DataFrame, profile: DataFrame, skills: DataFrame, closur
     return own.unionByName(pulled)
 
 
-def ordered_roadmap(items: DataFrame, skills: DataFrame, *, hours_per_week: float | None = None, limit: int = MAX_MILESTONES) -> DataFrame:
-    """Milestones in order: prerequisites first, then importance, then position; with hours and weeks."""
+def ordered_roadmap(items: DataFrame, skills: DataFrame, *, hours_per_week: float | None = None, limit: int | None = None) -> DataFrame:
+    """Milestones in order: prerequisites first, then importance, then position; with hours and weeks.
+
+    ``limit`` shows the first milestones only; ``omitted`` then has how many are left out, and the total hours are those
+    of the milestones shown.
+    """
     key = ["candidate_id", "target_role"]
     facts = skills.select(F.col("id").alias("skill_id"), "prerequisites", "difficulty_tier")
     rows = items.join(facts, "skill_id", "left")
@@ -69,7 +74,11 @@ def ordered_roadmap(items: DataFrame, skills: DataFrame, *, hours_per_week: floa
 
     order = F.aggregate(F.sequence(F.lit(1), F.size("_items")), F.array().cast("array<string>"), place)
     placed = nested.select(*key, F.posexplode_outer(order).alias("_pos", "skill_id")).where("skill_id IS NOT NULL").withColumn("order", F.col("_pos") + 1)
-    kept = placed.where(F.col("order") <= limit).drop("_pos").join(rows, [*key, "skill_id"])
+    placed = placed.drop("_pos").withColumn("omitted", F.lit(0))
+    if limit is not None:
+        everyone = placed.groupBy(*key).agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).cast("int").alias("omitted"))
+        placed = placed.where(F.col("order") <= limit).drop("omitted").join(everyone, key)
+    kept = placed.join(rows, [*key, "skill_id"])
     tier = F.coalesce("difficulty_tier", F.lit(DEFAULT_TIER))
     factor = F.when(F.col("kind").isin(HALF_KINDS), 0.5).otherwise(1.0)
 
@@ -82,4 +91,5 @@ def ordered_roadmap(items: DataFrame, skills: DataFrame, *, hours_per_week: floa
         run = W.partitionBy(*key).orderBy("order").rowsBetween(W.unboundedPreceding, 0)
         for side in ("low", "high"):
             timed = timed.withColumn(f"weeks_{side}", F.ceil(F.sum(f"hours_{side}").over(run) / hours_per_week).cast("int"))
-    return timed.drop("prerequisites", "position")
+    whole = W.partitionBy(*key)
+    return timed.drop("prerequisites", "position").withColumn("total_hours_low", F.sum("hours_low").over(whole)).withColumn("total_hours_high", F.sum("hours_high").over(whole))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.skill_text import collapsed_slug, lookup_key, misread_key, skill_slug
 from .ranks import keep_one, top_k
 
-MAX_DEPTH = 16
 MIN_MISREAD_LENGTH = 4
 
 
@@ -53,14 +52,14 @@ def resolve_or_slug(names: DataFrame, name: str, lookup: DataFrame, skills: Data
 
 
 def ancestors(skills: DataFrame) -> DataFrame:
-    """(id, ancestor, depth): every coarser skill of a skill, cycle-safe."""
+    """(id, ancestor, depth): every coarser skill of a skill, cycle-safe (K05). A chain beyond the session's recursion limit fails."""
     spark = skills.sparkSession
-    return spark.sql(f"""
+    return spark.sql("""
         WITH RECURSIVE up (id, ancestor, depth, path) AS (
-          SELECT id, maps_to, 1, array(maps_to) FROM {{skills}} WHERE maps_to IS NOT NULL AND maps_to <> ''
+          SELECT id, maps_to, 1, array(maps_to) FROM {skills} WHERE maps_to IS NOT NULL AND maps_to <> ''
           UNION ALL
-          SELECT u.id, s.maps_to, u.depth + 1, array_append(u.path, s.maps_to) FROM up u JOIN {{skills}} s ON s.id = u.ancestor
-          WHERE s.maps_to IS NOT NULL AND s.maps_to <> '' AND NOT array_contains(u.path, s.maps_to) AND u.depth < {MAX_DEPTH})
+          SELECT u.id, s.maps_to, u.depth + 1, array_append(u.path, s.maps_to) FROM up u JOIN {skills} s ON s.id = u.ancestor
+          WHERE s.maps_to IS NOT NULL AND s.maps_to <> '' AND NOT array_contains(u.path, s.maps_to))
         SELECT id, ancestor, depth FROM up""", skills=skills.select("id", "maps_to"))
 
 

@@ -33,15 +33,14 @@ def lens_sql() -> dict[str, str | tuple[str, str]]:
         "candidate_claims": """
             SELECT DISTINCT candidate_id, skill_id, 1 + (candidate_id + length(skill_id)) % 5 AS claimed
             FROM candidate_evidence WHERE (candidate_id + length(skill_id)) % 3 = 0""",
-        # What a role asks for: the most mentioned skills of its postings, by name, with a demand weight.
+        # What a role asks for: the skills of its postings, most mentioned first, by name, with a demand weight.
         "role_mentions": """
             SELECT p.occupation AS target_role, s.skill_name, count(*) AS n
             FROM posting_skills s JOIN postings p ON p.posting_id = s.posting_id GROUP BY p.occupation, s.skill_name""",
         "role_skills": """
             SELECT target_role, skill_name, rank, CASE WHEN rank % 4 = 3 THEN NULL ELSE round(n * 1.0 / top, 4) END AS weight FROM (
               SELECT target_role, skill_name, n, max(n) OVER (PARTITION BY target_role) AS top,
-                row_number() OVER (PARTITION BY target_role ORDER BY n DESC, skill_name) - 1 AS rank FROM role_mentions) t
-            WHERE rank < 12""",
+                row_number() OVER (PARTITION BY target_role ORDER BY n DESC, skill_name) - 1 AS rank FROM role_mentions) t""",
         # Postings as jobs: the source, the mode and the type follow from the key.
         "jobs": """
             SELECT p.posting_id AS job_id, p.title, p.occupation AS role, p.company, c.raw_city AS location_raw, p.listed_year, p.posted_at,

@@ -241,6 +241,9 @@ def with_lenses(sql: str, engine: str) -> str:
     """``sql`` preceded by the lenses it names."""
     ctes = [f"{name} AS ({_text(name, engine)})" for name in _needed(sql, engine)]
     body = sql.strip()
+    shadowed = set(re.findall(r"(?:\bWITH(?:\s+RECURSIVE)?|,)\s+(\w+)\s+AS\s*\(\s*SELECT", body, re.I)) & set(lens_sql())
+    if shadowed:
+        raise ValueError(f"the query names a table like a lens: {sorted(shadowed)}")
     recursive = body.upper().startswith("WITH RECURSIVE")
     if body.upper().startswith("WITH"):
         ctes.append(re.sub(r"(?i)^with(\s+recursive)?\s+", "", body))

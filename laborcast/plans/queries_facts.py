@@ -205,13 +205,13 @@ topped AS (SELECT * FROM useful WHERE position <= 8),
 general AS (SELECT region, skill_normalized, freq, row_number() OVER (PARTITION BY region ORDER BY freq DESC, skill_normalized) AS position FROM (
   SELECT * FROM (SELECT region, skill_normalized, CAST(sum(frequency) AS BIGINT) AS freq, row_number() OVER (PARTITION BY region ORDER BY sum(frequency) DESC, skill_normalized) AS i
     FROM skill_mentions GROUP BY region, skill_normalized) WHERE i <= 40 AND skill_normalized NOT IN ({GENERIC_SQL}))),
-role_skills AS (SELECT * FROM topped UNION ALL
+role_tops AS (SELECT * FROM topped UNION ALL
   SELECT r.role, r.region, g.skill_normalized, g.freq, g.position FROM (SELECT role, unnest(['india', 'global']) AS region FROM sterms) r
   JOIN general g ON g.region = r.region AND g.position <= 8
   WHERE NOT EXISTS (SELECT 1 FROM topped t WHERE t.role = r.role AND t.region = r.region))"""
 
 
-@query("o15_role_skills", f"WITH {ROLE_SKILLS_SQL} SELECT * FROM role_skills")
+@query("o15_role_skills", f"WITH {ROLE_SKILLS_SQL} SELECT * FROM role_tops")
 def _(spark, sf):
     return facts.role_skills(skill_roles(spark, sf), lens(spark, sf, "skill_mentions"), ["india", "global"])
 

@@ -157,4 +157,4 @@ def _(spark, sf):
     plain = skills(spark, sf).withColumn("prerequisites", F.array().cast("array<string>"))
     held = lens(spark, sf, "candidate_evidence").select("candidate_id", "skill_id").distinct().select(
         "candidate_id", F.lit("all").alias("target_role"), "skill_id", F.lit("missing").alias("kind"), F.lit(1.0).alias("importance"), F.lit(0).alias("position"), F.array().cast("array<string>").alias("required_for"))
-    return roadmap.ordered_roadmap(held, plain, hours_per_week=8.0, limit=10_000).select("candidate_id", "skill_id", F.col("weeks_low").alias("weeks"))
+    return roadmap.ordered_roadmap(held, plain, hours_per_week=8.0).select("candidate_id", "skill_id", F.col("weeks_low").alias("weeks"))

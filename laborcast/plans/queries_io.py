@@ -110,9 +110,10 @@ def _(spark, sf):
     return b.groupBy("region").agg(F.count(F.lit(1)).alias("benchmarks")).join(p.groupBy("region").agg(F.count("salary_min_usd").alias("priced_postings")), "region")
 
 
-@query("s11_ordered_cap", "SELECT posting_id FROM postings ORDER BY posting_id LIMIT 60000")
+@query("s11_ordered_cap", "SELECT posting_id FROM postings")
 def _(spark, sf):
-    return files.ordered_cap(lens(spark, sf, "postings").select("posting_id"), "posting_id", 60_000)
+    # The caps of the original loaders are left out: every posting of a source counts.
+    return lens(spark, sf, "postings").select("posting_id")
 
 
 def listing_payloads(spark, sf):
@@ -219,7 +220,8 @@ def _(spark, sf):
 @query("r02_first_copies", "SELECT count(DISTINCT (event_type, user_id, props)) AS postings FROM events")
 def _(spark, sf):
     # One month of events lies inside the 45-day horizon, so a batch keeps one copy per key as the stream does.
-    return stream.normalized(event_postings(spark, sf)).groupBy().agg(F.count_distinct("duplicate_key").alias("postings"))
+    kept = stream.first_copies(stream.normalized(event_postings(spark, sf)))
+    return kept.agg(F.count("duplicate_key").alias("postings"))
 
 
 @query("r03_posting_velocity", "SELECT event_type AS role, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS postings FROM events GROUP BY ALL")

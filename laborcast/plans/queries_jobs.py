@@ -71,7 +71,7 @@ def _(spark, sf):
 
 @query("m05_concrete_children")
 def _(spark, sf):
-    return mt.concrete_children(profile(spark, sf), tax.ancestors(skills(spark, sf)), ["role"], flag())
+    return mt.concrete_children(mt.market_profile(lens(spark, sf, "job_own_skills"), ["role"], k=None), tax.ancestors(skills(spark, sf)), ["role"], flag())
 
 
 @query("m18_skills_confidence", f"WITH {INFER_SQL} SELECT job_id, CASE WHEN count(*) FILTER (inferred) = 0 THEN 'extracted' WHEN count(*) FILTER (inferred) = count(*) THEN 'inferred' ELSE 'partly_inferred' END AS skills_confidence FROM job_skills GROUP BY job_id")
@@ -422,16 +422,15 @@ def _(spark, sf):
 
 
 BASE_SQL = "base AS (SELECT title AS role, 'baseline' AS source, CAST(1125000 AS BIGINT) AS estimated_min, CAST(1500000 AS BIGINT) AS estimated_median, CAST(1880000 AS BIGINT) AS estimated_max, 0.3::DOUBLE AS confidence, CAST(0 AS BIGINT) AS sample_size FROM occupations)"
-MARKET_SQL = f"""{POSTED_SQL.replace('FROM jobs)', "FROM jobs WHERE role NOT LIKE 'cloud%')", 1)}, {HIST_SQL.replace('WHERE salary_min IS NOT NULL', "WHERE salary_min IS NOT NULL AND role NOT LIKE '%nurse'")}, {BASE_SQL.replace('1125000', '1130000')},
+MARKET_SQL = f"""{POSTED_SQL}, {HIST_SQL}, {BASE_SQL.replace('1125000', '1130000')},
 src AS (SELECT 1 AS pri, * EXCLUDE (source) FROM posted UNION ALL SELECT 4, * EXCLUDE (source) FROM hist UNION ALL SELECT 5, * EXCLUDE (source) FROM base),
 market AS (SELECT * EXCLUDE (i) FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY pri) AS i FROM src) WHERE i = 1)"""
 
 
 def market(spark, sf):
-    """Cloud roles have no posted salaries and nurses no histogram, so every source is used."""
     occ = lens(spark, sf, "SELECT title AS role FROM occupations")
-    seen = sal.posted_estimate(lens(spark, sf, "jobs").where("role NOT LIKE 'cloud%'"), ["role"])
-    hist = sal.histogram_estimate(histogram(spark, sf).where("role NOT LIKE '%nurse'"), ["role"])
+    seen = sal.posted_estimate(lens(spark, sf, "jobs"), ["role"])
+    hist = sal.histogram_estimate(histogram(spark, sf), ["role"])
     base = sal.baseline_estimate(occ.withColumn("median_lpa", F.lit(15.0)), ["role"])
     return sal.market_estimate(occ, [seen, hist, base], ["role"])
 

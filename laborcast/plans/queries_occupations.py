@@ -224,7 +224,7 @@ DRIVERS_SQL = """list_filter([
   CASE WHEN velocity_ratio > 0.6 THEN 'Strong recent hiring momentum with steady acceleration from 2024 through 2026.' WHEN velocity_ratio > 0.3 THEN 'Consistent baseline posting velocity across consecutive hiring cycles.' END,
   CASE WHEN augmented > automated THEN concat('High augmentation leverage: ', augmented, ' tasks enhanced by generative AI tools, increasing worker productivity rather than substituting roles.')
     WHEN automated > 0 THEN concat('Routine task automation: ', automated, ' tasks exposed to workflow automation, shifting value toward strategic oversight.')
-    ELSE concat('Task profile (', task_count, ' tasks) indicates resilient cognitive and domain-specific problem solving.') END,
+    ELSE concat('Task profile (', task_count, ' O*NET tasks) indicates resilient cognitive and domain-specific problem solving.') END,
   CASE WHEN len(i_places) > 0 AND len(g_places) > 0 THEN concat('Balanced multi-regional hiring spanning leading Indian tech hubs (', trim(split_part(i_places[1], '(', 1)), ') and international markets.')
     WHEN len(i_places) > 0 THEN concat('Strong domestic Indian market concentration, primarily across ', trim(split_part(i_places[1], '(', 1)), ' and surrounding tech centers.') END,
   CASE WHEN len(top_skills) > 0 THEN concat('High employer demand for foundational and emerging capabilities: ', array_to_string(top_skills[1:4], ', '), '.') END], lambda s: s IS NOT NULL)"""
@@ -284,7 +284,7 @@ dom AS (SELECT soc_code, title, {GROUP_SQL.replace('soc_code', 'soc_code')} FROM
 tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY soc_code ORDER BY load_id) AS INT) AS position FROM scored),
 sk AS (SELECT soc_code, concat('Element ', element) AS skill_name, max(importance) AS importance FROM rating_groups GROUP BY ALL),
 sk2 AS (SELECT *, row_number() OVER (PARTITION BY soc_code ORDER BY importance DESC, skill_name) AS position FROM sk),
-te AS (SELECT soc_code, lower(p_brand) AS technology_name, max(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS hot_technology FROM parts_coded WHERE soc_code NOT LIKE '15%' GROUP BY ALL),
+te AS (SELECT soc_code, lower(p_brand) AS technology_name, max(CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END) AS hot_technology FROM parts_coded GROUP BY ALL),
 te2 AS (SELECT *, row_number() OVER (PARTITION BY soc_code ORDER BY hot_technology DESC, technology_name) AS position FROM te),
 ms AS (SELECT soc_code, skill_normalized, count(*) AS n FROM skill_mentions GROUP BY ALL),
 ms2 AS (SELECT *, row_number() OVER (PARTITION BY soc_code ORDER BY n DESC, skill_normalized) AS position FROM ms),
@@ -298,7 +298,7 @@ parts AS (SELECT soc_code, concat('dom_', replace(lower(career_cluster), ' ', '_
 def graph(spark, sf):
     base = lens(spark, sf, "occupations").select("soc_code", "title", major_group(F.col("soc_code"))["career_cluster"].alias("domain"))
     skills = lens(spark, sf, "rating_groups").groupBy("soc_code", F.concat(F.lit("Element "), "element").alias("skill_name")).agg(F.max("importance").alias("importance"))
-    tech = lens(spark, sf, "parts_coded").where("soc_code NOT LIKE '15%'").groupBy("soc_code", F.lower("p_brand").alias("technology_name")) \
+    tech = lens(spark, sf, "parts_coded").groupBy("soc_code", F.lower("p_brand").alias("technology_name")) \
         .agg(F.max((F.col("p_size") % 2 == 0).cast("int")).alias("hot_technology"))
     market = lens(spark, sf, "skill_mentions").groupBy("soc_code", "skill_normalized").agg(F.count(F.lit(1)).alias("n"))
     return occ.knowledge_graph(

@@ -32,10 +32,9 @@ def _(spark, sf):
 
 @query("k02_context_rules")
 def _(spark, sf):
-    # Ambiguous aliases only, in posting skill lists read as text.
-    ambiguous = aliases(spark, sf).where("rule IS NOT NULL")
+    # Posting skill lists read as text.
     texts = lens(spark, sf, "skill_lists").withColumn("text", F.concat(F.lit("Skills: "), "skills_text", F.lit(".\nWe use Go daily; spark joy.")))
-    return textmine.skill_hits(texts, "posting_id", "text", skills(spark, sf), ambiguous).select("posting_id", "skill_id", "surface", "start")
+    return textmine.skill_hits(texts, "posting_id", "text", skills(spark, sf), aliases(spark, sf)).select("posting_id", "skill_id", "surface", "start")
 
 
 @query("k03_overlap_resolution")

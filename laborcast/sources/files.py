@@ -12,10 +12,11 @@ from ..operators.ranks import keep_one
 CODE = "O*NET-SOC Code"
 
 
-def read_delimited(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header CSV, or TSV for ``.txt``, every column as text; quoted fields may span lines."""
+def read_delimited(spark: SparkSession, path: str, columns: list[str], *, multi_line: bool = False) -> DataFrame:
+    """Header CSV, or TSV for ``.txt``, every column as text. ``multi_line`` allows line breaks in quoted fields, at the
+    price of one task for each file, however large."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, schema=schema, header=True, sep="\t" if path.endswith(".txt") else ",", quote='"', escape='"', multiLine=True,
+    return spark.read.csv(path, schema=schema, header=True, sep="\t" if path.endswith(".txt") else ",", quote='"', escape='"', multiLine=multi_line,
                           enforceSchema=False)
 
 
@@ -137,8 +138,3 @@ def salary_file(raw: DataFrame, *, source: str) -> tuple[DataFrame, DataFrame]:
     postings = rows.select("source", "job_id", "title", "title_normalized", "company", "country", "region", F.col("salary_usd").alias("salary_min_usd"),
                            F.col("salary_usd").alias("salary_max_usd"), F.col("year").alias("listed_year"))
     return benchmarks, postings
-
-
-def ordered_cap(df: DataFrame, key: str, n: int) -> DataFrame:
-    """First ``n`` rows of a source in key order (S11): the cap is part of the source's definition."""
-    return df.orderBy(F.asc(key)).limit(n)

@@ -1,6 +1,7 @@
 """Continuous posting ingest. State is bounded by watermarks; every query needs the caller's checkpoint location."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.numbers import plausible_salary, posting_years
@@ -26,10 +27,19 @@ def normalized(stream: DataFrame) -> DataFrame:
 
 
 def first_copies(stream: DataFrame, *, watermark: str = f"{MAX_AGE_DAYS} days") -> DataFrame:
-    """First copy of each posting within the watermark (R02); undated rows belong to the batch path."""
+    """First copy of each dated posting within the watermark (R02); of a batch, the earliest. Undated ones have no event
+    time: see :func:`undated`."""
+    if not stream.isStreaming:
+        row = F.struct(*stream.columns)
+        return stream.where("posted_at IS NOT NULL").groupBy("duplicate_key").agg(F.min_by(row, "posted_at").alias("_r")).select("_r.*")
     return stream.where("posted_at IS NOT NULL").withWatermark("posted_at", watermark).dropDuplicatesWithinWatermark(["duplicate_key"])
 
 
+def undated(stream: DataFrame) -> DataFrame:
+    """Postings without a date, which no watermark can age (R04): a second sink keeps them, by duplicate key."""
+    return stream.where("posted_at IS NULL")
+
+
 def velocity(stream: DataFrame, *, role: str = "role", size: str = "7 days", slide: str | None = None, watermark: str = "1 day") -> DataFrame:
     """Postings per role over tumbling or sliding windows."""
     window = F.window("posted_at", size, slide) if slide else F.window("posted_at", size)
@@ -37,9 +47,26 @@ def velocity(stream: DataFrame, *, role: str = "role", size: str = "7 days", sli
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), role, "postings")
 
 
-def keep_latest_markets(stream: DataFrame, path: str, checkpoint: str, by: list[str]):
-    """Writes each batch's newest snapshot per market over the market's partition."""
+def newer_markets(batch: DataFrame, stored: DataFrame | None, by: list[str]) -> DataFrame:
+    """The batch's newest snapshot of each market, unless a newer one is stored."""
+    rows = current_snapshots(batch, by, F.current_timestamp())
+    if stored is None:
+        return rows
+    newest = stored.groupBy(*by).agg(F.max("fetched_at").alias("_stored"))
+    return rows.join(newest, by, "left").where("_stored IS NULL OR fetched_at >= _stored").drop("_stored")
+
+
+def keep_latest_markets(stream: DataFrame, path: str, checkpoint: str, by: list[str], trigger: dict | None = None):
+    """Writes each batch's newest snapshot per market over the market's partition.
+
+    A batch that comes late, or again, doesn't replace a newer snapshot. ``trigger`` has the writer's trigger options;
+    without it the stream ends when the present input is used up.
+    """
     def write(batch: DataFrame, _: int) -> None:
-        replace_markets(current_snapshots(batch, by, F.current_timestamp()), path, by)
+        try:
+            stored = batch.sparkSession.read.parquet(path)
+        except AnalysisException:  # nothing is stored yet
+            stored = None
+        replace_markets(newer_markets(batch, stored, by), path, by)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))

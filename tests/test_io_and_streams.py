@@ -75,3 +75,23 @@ def test_query_equals_sql(spark, name):
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_a_late_batch_keeps_newer_markets(spark, tmp_path):
+    path, by = str(tmp_path / "markets"), ["role", "city"]
+
+    def batch(rows):
+        return spark.createDataFrame(rows, "role string, city string, fetched_at string, n int").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+
+    source = tmp_path / "in"
+    for i, rows in enumerate([[("a", "x", "2024-02-02", 1), ("a", "y", "2024-02-01", 2)], [("a", "x", "2024-01-01", 3), ("b", "x", "2024-01-01", 4)], [("a", "y", "2024-03-01", 5)]]):
+        batch(rows).write.mode("append").json(str(source))
+        feed = spark.readStream.schema("role string, city string, fetched_at timestamp, n int").json(str(source))
+        stream.keep_latest_markets(feed, path, str(tmp_path / "checkpoint"), by).start().awaitTermination()
+    assert sorted((r.role, r.city, r.n) for r in spark.read.parquet(path).collect()) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 4)]
+
+
+def test_undated_postings_have_a_path(spark):
+    rows = spark.createDataFrame([("k", None), ("k", "2024-01-01 00:00:00"), ("k", "2024-01-03 00:00:00")], "duplicate_key string, posted_at string").withColumn("posted_at", F.col("posted_at").cast("timestamp"))
+    assert stream.undated(rows).count() == 1
+    assert [str(r.posted_at) for r in stream.first_copies(rows).collect()] == ["2024-01-01 00:00:00"]

@@ -213,3 +213,50 @@ def test_match_components(spark):
     assert m["overall"] == pytest.approx(round(0.4 * 0.525 + 0.2 * 2 / 3 + 0.4, 4))
     unlocks = mt.skill_unlocks(mt.match_pairs(scored, jobs, people).withColumn("match_class", F.lit("Partial")), rows, spark.createDataFrame([(7, "docker")], "candidate_id int, skill_id string"))
     assert unlocks.first()["jobs_unlocked"] == 1
+
+
+def _tiny_taxonomy(spark):
+    skills = spark.createDataFrame([("c", "C", None, [], 1, False, 0), ("r", "R", None, [], 1, False, 1), ("lo", "Law of the sea", None, [], 1, False, 2)],
+                                   "id string, display string, maps_to string, prerequisites array<string>, difficulty_tier int, is_category boolean, load_id int")
+    aliases = spark.createDataFrame([("c", "c", "list"), ("r", "r", "list"), ("lo", "united nations law of the sea", None)], "id string, alias string, rule string")
+    return skills, aliases
+
+
+def test_list_rule_reads_at_the_mention_itself(spark):
+    skills, aliases = _tiny_taxonomy(spark)
+    docs = spark.createDataFrame([(1, "Tech stack: c, r"), (2, "Langs: c, r"), (3, "a c minor chord: d, e"), (4, "\n\nintro\n Tech: c ; r")], "id int, text string")
+    got = {(h.id, h.skill_id) for h in textmine.skill_hits(docs, "id", "text", skills, aliases).collect()}
+    assert got == {(1, "c"), (1, "r"), (2, "c"), (2, "r"), (4, "c"), (4, "r")}
+
+
+def test_aliases_of_any_length_are_found(spark):
+    skills, aliases = _tiny_taxonomy(spark)
+    docs = spark.createDataFrame([(1, "knows United Nations law of the sea well")], "id int, text string")
+    assert [h.surface for h in textmine.skill_hits(docs, "id", "text", skills, aliases).collect()] == ["United Nations law of the sea"]
+
+
+def test_closures_follow_long_chains(spark):
+    from laborcast.operators import taxonomy
+
+    chain = spark.createDataFrame([(f"s{i}", f"s{i + 1}" if i < 40 else None) for i in range(41)], "id string, maps_to string")
+    assert taxonomy.ancestors(chain).where("id = 's0'").count() == 40
+
+
+def test_roadmap_says_what_it_leaves_out(spark):
+    skills = spark.createDataFrame([(f"s{i}", [], 1) for i in range(20)], "id string, prerequisites array<string>, difficulty_tier int")
+    items = spark.createDataFrame([(1, "role", f"s{i}", "missing", 1.0 / (i + 1), i, []) for i in range(20)],
+                                  "candidate_id int, target_role string, skill_id string, kind string, importance double, position int, required_for array<string>")
+    whole = roadmap.ordered_roadmap(items, skills).collect()
+    short = roadmap.ordered_roadmap(items, skills, limit=15).collect()
+    assert len(whole) == 20 and {r.omitted for r in whole} == {0} and {r.total_hours_low for r in whole} == {200}
+    assert len(short) == 15 and {r.omitted for r in short} == {5} and {r.total_hours_low for r in short} == {150}
+
+
+def test_a_donor_needs_skills(spark):
+    from laborcast.operators import postings
+
+    rows = [(1, "board", "Chef", "A", "Pune", "short", None, False, []), (2, "full", "Chef", "A", "Pune", "much longer text", None, False, []), (3, "full", "Chef", "A", "Pune", "longer text", None, False, ["x"])]
+    jobs = spark.createDataFrame([r[:6] + (5, False) + (r[8],) if r[0] == 1 else r for r in rows], "job_id int, source string, title string, company string, location_raw string, description string, salary_min int, salary_is_predicted boolean, skills array<string>")
+    options = {"source_order": ["board", "full"], "donor_source": "full"}
+    assert postings.merge_duplicates(jobs, **options).first().skills_from == 2
+    assert postings.merge_duplicates(jobs, has_skills=F.size("skills") > 0, **options).first().skills_from == 3
