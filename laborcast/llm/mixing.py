@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,18 +24,16 @@ from .shared import cut, extended, slices, with_columns, without
 TRAIN_ROWS = 20_000
 #: Words per domain whose presence is a feature, and in how many of the labelled documents such a word is at least.
 WORDS, LEAST_DOCUMENTS = 32, 5
-_STRIPPED = b".,;:!?\"'()[]{}*#$%&|<>"
+_PLAIN = bytes(32 if chr(b) in ".,;:!?\"'()[]{}*#$%&|<>" else b for b in range(256))
 #: Weight of keeping the rates near one, against matching the targets.
 KEEP = 1e-4
 #: Steps end when the residuals change by less than this, relative to the targets, or after so many steps.
 TOLERANCE, STEPS = 1e-6, 100
-#: Steps after which the rates are written out, so that the expression for them stays short.
-REWRITE = 25
 
 
 def word_set(text: str) -> set[bytes]:
-    """The distinct words in lower case (A-Z only) without punctuation around them."""
-    return {w.strip(_STRIPPED) for w in set(text.encode("utf-8", "surrogatepass").lower().split())} - {b""}
+    """The distinct words in lower case (A-Z only); punctuation separates words."""
+    return set(text.encode("utf-8", "surrogatepass").lower().translate(_PLAIN).split())
 
 
 @dataclass
@@ -101,7 +99,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     if not total:
         return empty
     seen = sample.mapInArrow(words, "domain string, word binary").groupBy("word")
-    counts = seen.agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)]).where(F.col("n") >= LEAST_DOCUMENTS)
+    counts = cut(seen.agg(F.count("*").alias("n"), *[F.count_if(F.col("domain") == d).alias(f"d{i}") for i, d in enumerate(domains)]).where(F.col("n") >= LEAST_DOCUMENTS))
     listed: set[bytes] = set()
     for i, d in enumerate(domains):
         size = sizes.get(d, 0)
@@ -141,21 +139,18 @@ def memberships(docs: DataFrame, model: DomainModel, text: str = "text") -> Data
     return source.mapInArrow(run, extended(source, T.StructField("n_tokens", T.LongType(), False), T.StructField("posterior", T.ArrayType(T.DoubleType(), False), False)))
 
 
-def _after(history: list[tuple[np.ndarray, float]], shrink: float) -> Column:
-    """(rate, ahead) after the steps taken: from the point ahead, down by the step for the posterior and towards one, not
-    below zero; then ahead again by a share of the way just made (Nesterov's momentum)."""
-    start = F.struct(F.col("rate").alias("rate"), F.col("ahead").alias("ahead"))
-    if not history:
-        return start
-    k = len(history[0][0])
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in (*v, momentum)]) for v, momentum in history])
-    dot = lambda v: sum((F.col("posterior")[d] * v[d] for d in range(1, k)), F.col("posterior")[0] * v[0])
+def advance(posterior: np.ndarray, history: list[tuple[np.ndarray, float]], shrink: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rate, ahead) of documents after the steps taken: from the point ahead, down by the step for the posterior and towards
+    one, not below zero; then ahead again by a share of the way just made (Nesterov's momentum)."""
+    rate = ahead = np.ones(len(posterior))
+    for step, momentum in history:
+        new = np.maximum(0, ahead - posterior @ step - shrink * (ahead - 1))
+        ahead, rate = new + momentum * (new - rate), new
+    return rate, ahead
 
-    def move(state: Column, v: Column) -> Column:
-        new = F.greatest(F.lit(0.0), state["ahead"] - dot(v) - shrink * (state["ahead"] - 1))
-        return F.transform(F.array(new), lambda r: F.struct(r.alias("rate"), (r + v[k] * (r - state["rate"])).alias("ahead")))[0]
 
-    return F.aggregate(steps, start, move)
+def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
 
 
 def fit_rates(members: DataFrame, targets: list[float], total: float = 1.0) -> DataFrame:
@@ -164,30 +159,45 @@ def fit_rates(members: DataFrame, targets: list[float], total: float = 1.0) -> D
     Expected domain tokens should be ``total`` times all tokens now, shared by ``targets``. Residuals are weighed by one over
     what a domain has now, so rare domains count as much as common ones and the steps converge at once for clear
     posteriors. A domain that no document belongs to can't be matched and is left out. Without tokens every rate is one.
+
+    A rate follows from the document's posterior and the steps so far, so nothing of a document is kept between steps. The
+    steps read blocks of tokens and posteriors; of each they send one sum for each domain.
     """
-    members = cut(without(members, "rate", "ahead", "state"))
+    members = cut(without(members, "rate"))
     k = len(targets)
     goal = np.array(targets, dtype=float) / sum(targets) * total
-    p = [F.col("posterior")[d] for d in range(k)]
-    tokens = F.col("n_tokens")
-    first = members.agg(F.sum(tokens).alias("t"), *[F.sum(tokens * a * b).alias(f"m{i}_{j}") for i, a in enumerate(p) for j, b in enumerate(p)]).first()
-    if not first.t:
+
+    def blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = np.hstack([batch.column(0).to_numpy()[:, None].astype(float), _matrix(batch.column(1), k)])
+            yield pa.RecordBatch.from_arrays([pa.array([block.ravel()], pa.list_(pa.float64()))], names=["block"])
+
+    blocks = cut(members.select("n_tokens", "posterior").mapInArrow(blocked, "block array<double>"))
+
+    def totals(of) -> np.ndarray:
+        """The sum over all blocks of what ``of`` makes of tokens and posteriors."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for block in batch.column(0):
+                    values = block.values.to_numpy().reshape(-1, k + 1)
+                    out = np.asarray(of(values[:, 0], values[:, 1:])).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], names=["i", "x"])
+
+        rows = blocks.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # one row for each sum
+        return np.array([r.x for r in sorted(rows, key=lambda r: r.i)])
+
+    first = totals(lambda n, p: np.append((p * n[:, None]).T @ p, n.sum()))
+    if not len(first) or not first[-1]:
         return members.withColumn("rate", F.lit(1.0))
-    gram = np.array([[first[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / first.t
+    tokens, gram = first[-1], first[:-1].reshape(k, k) / first[-1]
     mass = gram.sum(axis=1)
     weight = np.where(mass > 1e-12, 1 / np.maximum(mass, 1e-12), 0)
     step = 1 / (np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max() + KEEP)
     shrink = step * KEEP
-    table = members.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0))
     history: list[tuple[np.ndarray, float]] = []
     before, still, age = None, 0, 0
     for _ in range(STEPS):
-        if len(history) == REWRITE:
-            table = cut(table.withColumn("state", _after(history, shrink)).select(*members.columns, "state.rate", "state.ahead"))
-            history = []
-        ahead = tokens * _after(history, shrink)["ahead"]
-        sums = table.select("posterior", ahead.alias("ahead")).agg(*[F.sum(F.col("ahead") * x).alias(f"e{d}") for d, x in enumerate(p)]).first()
-        residual = np.array([sums[f"e{d}"] for d in range(k)]) / first.t - goal
+        residual = totals(lambda n, p, h=tuple(history): (n * advance(p, h, shrink)[1]) @ p) / tokens - goal
         if before is not None:
             still = still + 1 if np.abs((residual - before) * (weight > 0)).max() < TOLERANCE else 0
             if still == 3:
@@ -196,21 +206,27 @@ def fit_rates(members: DataFrame, targets: list[float], total: float = 1.0) -> D
                 age = 0  # the momentum went too far: start it again
         before, age = residual, age + 1
         history.append((step * weight * residual, (age - 1) / (age + 2)))
-    return table.withColumn("state", _after(history, shrink)).select(*[F.col(f"`{c}`") for c in members.columns], F.col("state.rate").alias("rate"))
+
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _matrix(batch.column(batch.schema.get_field_index("posterior")), k)
+            yield with_columns(batch, rate=pa.array(advance(p, history, shrink)[0]))
+
+    return members.mapInArrow(rated, extended(members, T.StructField("rate", T.DoubleType(), False)))
 
 
-def copies(rated: DataFrame, key: str = "doc_id", most: int | None = None) -> DataFrame:
-    """The mixture itself: each row as often as its rate says, without the columns of the fit.
+def copies(rated: DataFrame, columns: list[str], key: str = "doc_id", rate: str = "rate", most: int | None = None) -> DataFrame:
+    """The mixture itself: ``columns`` of each row as often as its rate says.
 
     A rate's fraction is a further copy if it exceeds a hash of the key in [0, 1), so the expected number is the rate, and
     the same in every run. ``most`` bounds the copies of a row.
     """
     share = F.pmod(F.xxhash64(F.lit("copies"), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    number = F.floor(F.col("rate") + share).cast("int")
+    number = F.floor(F.col(rate) + share).cast("int")
     if most is not None:
         number = F.least(number, F.lit(most))
-    columns = [F.col(f"`{c}`") for c in rated.columns if c not in ("n_tokens", "posterior", "rate")]
     often = rated.withColumn("__copies", number).where("__copies > 0")
+    own = [F.col(f"`{c}`") for c in columns]
     if most == 1:
-        return often.select(*columns)
-    return often.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")
+        return often.select(*own)
+    return often.select(*own, F.explode(F.array_repeat(F.lit(0), F.col("__copies"))).alias("__copy")).drop("__copy")

@@ -6,6 +6,7 @@ arrays, so a block of documents goes down all trees at once with array lookups.
 """
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,12 @@ from .textstats import line_counts, repeated_words
 TRAIN_ROWS = 40_000
 BINS, TREES, DEPTH, RATE, L2, LEAST = 64, 120, 4, 0.15, 2.0, 8.0
 _SYMBOLS = b"#*$%&|<>"
+#: 0 for what separates words, 2 for capitals (A-Z), 3 for digits, 1 for any other byte.
+_KIND = np.array([0 if b == 32 or 9 <= b <= 13 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 1 for b in range(256)], dtype=np.uint8)
 FEATURES = [
     "log_bytes", "log_words", "word_bytes", "longest_word", "distinct_words", "top_word", "repeated", "upper", "lower", "digits", "spaces",
     *[f"symbol_{chr(c)}" for c in _SYMBOLS], "exclaim", "stops", "commas", "other_punctuation", "controls", "high_bytes", "byte_entropy",
-    "lines", "repeated_lines", "line_words", "capital_words", "digit_words", "one_letter_words", "top_byte",
+    "lines", "repeated_lines", "line_words", "capital_words", "digit_words", "one_byte_words", "top_byte",
 ]
 
 
@@ -35,22 +38,23 @@ def statistics(text: str) -> list[float]:
     words = data.split()
     if not words:
         return [0.0] * len(FEATURES)
-    h = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
+    codes = np.frombuffer(data, dtype=np.uint8)
+    h = np.bincount(codes, minlength=256)
     n, k = len(data), len(words)
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(words)
     lines, repeats = line_counts(text)
     p = h[h > 0] / n
     punctuation = h[33:48].sum() + h[58:65].sum() + h[91:97].sum() + h[123:127].sum()
     symbols = [h[c] for c in _SYMBOLS]
+    kinds = np.append(np.uint8(0), np.append(_KIND[codes], np.uint8(0)))
+    first = kinds[1:-1][kinds[:-2] == 0]  # what stands at the start of each word, and zeros between words
+    single = int(((kinds[1:-1] > 0) & (kinds[:-2] == 0) & (kinds[2:] == 0)).sum())
     return [
-        np.log1p(n), np.log1p(k), sum(map(len, words)) / k, np.log1p(max(map(len, counts))), len(counts) / k, max(counts.values()) / k,
+        np.log1p(n), np.log1p(k), (n - h[32] - h[9:14].sum()) / k, np.log1p(max(map(len, counts))), len(counts) / k, max(counts.values()) / k,
         repeated_words(words) / k, h[65:91].sum() / n, h[97:123].sum() / n, h[48:58].sum() / n, h[32] / n,
         *[s / k for s in symbols], h[33] / k, h[46] / k, h[44] / k, (punctuation - sum(symbols) - h[33] - h[46] - h[44]) / k, h[:32].sum() / n,
         h[128:].sum() / n, float(-(p * np.log2(p)).sum()), np.log1p(lines), repeats / max(1, lines), np.log1p(k / max(1, lines)),
-        sum(c for w, c in counts.items() if 65 <= w[0] <= 90) / k, sum(c for w, c in counts.items() if w.isdigit()) / k,
-        sum(c for w, c in counts.items() if len(w) == 1) / k, h.max() / n,
+        (first == 2).sum() / k, (first == 3).sum() / k, single / k, h.max() / n,
     ]
 
 

@@ -13,10 +13,18 @@ def ranks(values: np.ndarray) -> tuple[np.ndarray, int]:
 def repeated_words(words: list[bytes], width: int = 5) -> int:
     """Words that lie in a window of ``width`` words which occurs twice or more in the text, the first included.
 
-    Windows are numbered by doubling, so equal numbers mean equal words and a long text needs no long strings.
+    Most texts repeat no window: if the windows' hashes all differ, so do the windows. Otherwise windows are numbered by
+    doubling, so that equal numbers mean equal words.
     """
     if len(words) <= width:
         return 0
+    h, n = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64), len(words) - width + 1
+    windows = h[:n].copy()
+    for j in range(1, width):
+        windows = windows * np.uint64(0x9E3779B97F4A7C15) + h[j:j + n]
+    windows.sort()
+    if (windows[1:] != windows[:-1]).all():
+        return 0
     table = {w: i for i, w in enumerate(dict.fromkeys(words))}
     if len(table) == len(words):
         return 0
