@@ -1,6 +1,8 @@
 """Free-text titles resolved to occupation codes, and occupation search."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.places import canonical_city
@@ -131,6 +133,53 @@ def _stage_rows(df: DataFrame, stage: int, method: str, confidence: Column, size
                      F.round(confidence, 2).alias("confidence"), F.col("matched_term"), size.alias("_size"))
 
 
+def search_titles(queries: DataFrame, occupations: DataFrame, aliases: DataFrame, alternates: DataFrame, *, k: int = 5) -> DataFrame:
+    """Top ``k`` occupations per free-text query over seven stages.
+
+    Exact stages upgrade a lower confidence. Each partial stage offers its ``k`` shortest terms and only adds
+    occupations while fewer than ``k`` were found before it. ``aliases``: raw_title, soc_code, confidence;
+    ``alternates``: title, soc_code.
+    """
+    q = queries.select("query").distinct().withColumn("_q", F.lower(F.trim("query"))).where("_q <> ''")
+    occ = occupations.select("soc_code", "title")
+    named = {
+        "alias": aliases.select("soc_code", F.col("raw_title").alias("matched_term"), "confidence").join(occ, "soc_code"),
+        "title": occ.withColumn("matched_term", F.col("title")).withColumn("confidence", F.lit(1.0)),
+        "alternate": alternates.select("soc_code", F.col("title").alias("matched_term")).join(occ, "soc_code").withColumn("confidence", F.lit(1.0)),
+    }
+    terms = [df.select(F.lit(name).alias("kind"), "soc_code", "title", "matched_term", "confidence", F.lower("matched_term").alias("_t"))
+             for name, df in named.items()]
+    terms = terms[0].unionByName(terms[1]).unionByName(terms[2])
+    hits = q.join(contains_join(q, "_q", terms, "_t"), "_q").join(terms, "_t")
+    kind, exact = F.col("kind"), F.col("_t") == F.col("_q")
+    order = {"alias": (1, 4), "title": (2, 5), "alternate": (3, 6)}
+    score = {"alias": (F.col("confidence"), F.col("confidence") * SEARCH_STAGES["alias_partial"]),
+             "title": (F.lit(1.0), F.lit(SEARCH_STAGES["title_partial"])),
+             "alternate": (F.lit(SEARCH_STAGES["alternate_exact"]), F.lit(SEARCH_STAGES["alternate_partial"]))}
+    # A hit is a row of its partial stage and, if it is exact, of its exact stage; the hits are made once.
+    pick = lambda i, values: reduce(lambda acc, n: F.when(kind == n, values(n)).otherwise(acc), order, F.lit(None))
+    stages = [F.struct(pick(i, lambda n: F.lit(order[n][i])).alias("stage"), pick(i, lambda n: F.lit(f"{n}_{word}")).alias("method"),
+                       F.round(pick(i, lambda n: score[n][i].cast("double")), 2).alias("confidence")) for i, word in enumerate(("exact", "partial"))]
+    both = F.when(exact, F.array(*stages)).otherwise(F.array(stages[1]))
+    parts = [hits.select("query", "soc_code", "title", "matched_term", F.length("matched_term").alias("_size"), F.inline(both))
+             .select("query", "soc_code", "title", "stage", "method", "confidence", "matched_term", "_size")]
+    words = q.select("query", query_tokens(F.col("query")).alias("tokens"))
+    all_words = any_token_join(words, "query", "tokens", occ, "_t").join(words, "query") \
+        .where(F.col("hits") == F.size(F.array_distinct("tokens"))).select("query", "_t", F.lit(3).alias("stage"))
+    hits = near.unionByName(all_words).join(occ, "_t")
+    return keep_one(hits, ["query"], [F.asc("stage"), F.asc(F.length("title")), F.asc("title")]).select("query", "soc_code", "title", "stage")
+
+
+# The confidence of each search stage.
+SEARCH_STAGES = {"alias_exact": 1.0, "title_exact": 1.0, "alternate_exact": 0.95, "alias_partial": 0.90,
+                 "title_partial": 0.88, "alternate_partial": 0.82, "token_match": 0.70}
+
+
+def _stage_rows(df: DataFrame, stage: int, method: str, confidence: Column, size: Column) -> DataFrame:
+    return df.select("query", "soc_code", "title", F.lit(stage).alias("stage"), F.lit(method).alias("method"),
+                     F.round(confidence, 2).alias("confidence"), F.col("matched_term"), size.alias("_size"))
+
+
 def search_titles(queries: DataFrame, occupations: DataFrame, aliases: DataFrame, alternates: DataFrame, *, k: int = 5) -> DataFrame:
     """Top ``k`` occupations per free-text query over seven stages.
 
@@ -167,15 +216,14 @@ def search_titles(queries: DataFrame, occupations: DataFrame, aliases: DataFrame
     for p in parts[1:]:
         rows = rows.unionByName(p)
     # Exact alias and title hits are all offered; every later stage offers the k shortest of its terms.
-    early = rows.where("stage <= 2")
-    late = top_k(rows.where("stage > 2"), ["query", "stage"], [F.asc("_size"), F.asc("matched_term"), F.asc("soc_code")], k, "_pos").drop("_pos")
-    ranked = keep_one(early.unionByName(late), ["query", "soc_code", "stage"], [F.desc("confidence"), F.asc("_size"), F.asc("matched_term")])
-    firsts = ranked.withColumn("_first", F.min("stage").over(W.partitionBy("query", "soc_code")))
-    new = firsts.where(F.col("stage") == F.col("_first"))
-    before = W.partitionBy("query").orderBy("stage").rangeBetween(W.unboundedPreceding, -1)
-    open_ = new.withColumn("_before", F.count(F.lit(1)).over(before)).where((F.col("stage") <= 3) | (F.col("_before") < k))
-    keys = open_.select("query", "soc_code", "_first")
-    chosen = ranked.join(keys, ["query", "soc_code"]).where((F.col("stage") <= 3) | (F.col("stage") == F.col("_first")))
+    size = W.partitionBy("query", "stage").orderBy(F.asc("_size"), F.asc("matched_term"), F.asc("soc_code"))
+    offered = rows.withColumn("_pos", F.row_number().over(size)).where((F.col("stage") <= 2) | (F.col("_pos") <= k)).drop("_pos")
+    ranked = keep_one(offered, ["query", "soc_code", "stage"], [F.desc("confidence"), F.asc("_size"), F.asc("matched_term")])
+    own, before = W.partitionBy("query", "soc_code"), W.partitionBy("query").orderBy("stage").rangeBetween(W.unboundedPreceding, -1)
+    new = F.col("stage") == F.col("_first")
+    firsts = ranked.withColumn("_first", F.min("stage").over(own)).withColumn("_before", F.coalesce(F.sum(new.cast("int")).over(before), F.lit(0)))
+    open_ = firsts.withColumn("_open", F.max(new & ((F.col("stage") <= 3) | (F.col("_before") < k))).over(own))
+    chosen = open_.where(F.col("_open") & ((F.col("stage") <= 3) | new))
     best = keep_one(chosen, ["query", "soc_code"], [F.desc("confidence"), F.asc("stage")])
     return top_k(best, ["query"], [F.desc("confidence"), F.asc("stage"), F.asc("_size"), F.asc("soc_code")], k) \
         .select("query", "soc_code", "title", "method", "confidence", "matched_term", "position")

@@ -98,13 +98,13 @@ def percentile_salary(requests: DataFrame, bands: DataFrame, *, remote_only: boo
         metro = F.when(F.col("city") == name, group).otherwise(metro)
     asked = requests.withColumn("tier", experience_tier(F.col("experience_years"))).withColumn("_metro", metro)
 
-    def band(alias: str, label: Column) -> DataFrame:
-        keyed = asked.select("candidate_id", "role", label.alias("band")).join(bands, ["role", "band"])
-        return keyed.select("candidate_id", "role", F.struct("p25", "p50", "p75", "sample_size").alias(alias))
-
-    rows = asked
-    for alias, label in (("_t", F.concat(F.lit("exp:"), "tier")), ("_o", F.lit("onsite")), ("_c", F.concat(F.lit("city:"), "_metro")), ("_r", F.lit("remote"))):
-        rows = rows.join(band(alias, label), ["candidate_id", "role"], "left")
+    # A role has few bands, so they travel as one map and each request meets them once.
+    figures = F.struct("p25", "p50", "p75", "sample_size")
+    by_role = bands.groupBy("role").agg(F.map_from_entries(F.collect_list(F.struct("band", figures))).alias("_bands"))
+    band = lambda label: F.try_element_at(F.col("_bands"), label)
+    rows = asked.join(by_role, "role").select(
+        *asked.columns, band(F.concat(F.lit("exp:"), "tier")).alias("_t"), band(F.lit("onsite")).alias("_o"),
+        band(F.concat(F.lit("city:"), "_metro")).alias("_c"), band(F.lit("remote")).alias("_r"))
     use_remote = F.lit(remote_only) & (F.coalesce("_r.sample_size", F.lit(0)) >= MIN_PERCENTILE)
     use_tier = F.coalesce("_t.sample_size", F.lit(0)) >= MIN_PERCENTILE
     use_city = use_tier & (F.coalesce("_c.sample_size", F.lit(0)) >= MIN_CITY) & F.col("_o").isNotNull()
