@@ -168,7 +168,7 @@ def _(spark, sf):
     return matches(spark, sf).select(*mt.PAIR, F.round(exact, 9).alias("overall"))
 
 
-@query("m13_match_classes")
+@query("m13_match_classes", f"WITH {MATCH_SQL} SELECT CASE WHEN overall >= 0.80 THEN 'Strong' WHEN overall >= 0.65 THEN 'Good' WHEN overall >= 0.45 THEN 'Partial' ELSE 'Weak' END AS match_class, count(*) AS pairs FROM ov GROUP BY 1")
 def _(spark, sf):
     return matches(spark, sf).groupBy("match_class").agg(F.count(F.lit(1)).alias("pairs"))
 
@@ -188,12 +188,20 @@ def _(spark, sf):
     return lens(spark, sf, "jobs").select("job_id", F.round(mt.recency(now()), 4).alias("recency"))
 
 
-@query("m16_ranked_jobs")
+RANK_SQL = f"""{MATCH_SQL},
+rs AS (SELECT *, CASE WHEN salary_is_predicted OR coalesce(salary_min, salary_max) IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + ((coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min)) / 2 - {MEDIAN}) / (2.0 * {MEDIAN}))) END::DOUBLE AS pay,
+  (CASE WHEN posted_at IS NULL THEN 0.5 WHEN d <= 3 THEN 1.0 ELSE greatest(0.2, 1 - 0.8 * (d - 3) / 42) END::DOUBLE * CASE WHEN stale THEN 0.8 ELSE 1.0 END::DOUBLE) AS fresh
+  FROM (SELECT *, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at)) / 86400e6 AS d FROM ov)),
+rk AS (SELECT candidate_id, job_id, overall, posted_at, {decimal_round("overall * 0.55::DOUBLE + location * 0.15::DOUBLE + experience * 0.1::DOUBLE + pay * 0.1::DOUBLE + fresh * 0.1::DOUBLE", 4)} AS rank_score FROM rs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY rank_score DESC, overall DESC, posted_at DESC NULLS LAST, job_id) AS position FROM rk)"""
+
+
+@query("m16_ranked_jobs", f"WITH {RANK_SQL} SELECT candidate_id, job_id, rank_score FROM rk")
 def _(spark, sf):
     return mt.rank_jobs(matches(spark, sf), F.lit(MEDIAN), now()).select(*mt.PAIR, "rank_score")
 
 
-@query("t06_top_jobs")
+@query("t06_top_jobs", f"WITH {RANK_SQL} SELECT candidate_id, CAST(position AS INT) AS position, job_id, rank_score FROM placed WHERE position <= 10")
 def _(spark, sf):
     return mt.rank_jobs(matches(spark, sf), F.lit(MEDIAN), now(), k=10).select("candidate_id", "position", "job_id", "rank_score")
 
@@ -435,9 +443,9 @@ def market(spark, sf):
     return sal.market_estimate(occ, [seen, hist, base], ["role"])
 
 
-@query("y06_market_estimate")
+@query("y06_market_estimate", f"WITH {MARKET_SQL} SELECT role, estimated_min, estimated_median, estimated_max, sample_size FROM market")
 def _(spark, sf):
-    return market(spark, sf)
+    return market(spark, sf).select("role", "estimated_min", "estimated_median", "estimated_max", "sample_size")
 
 
 VALUE_SQL = f"""{MARKET_SQL},
