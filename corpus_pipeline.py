@@ -17,6 +17,8 @@ from laborcast.llm.queries_quality_model import ACCEPTED, learned_from
 from laborcast.llm.registry import table
 from laborcast.llm.shared import checkpoint_folder
 
+TOTAL, KEEP = 1.1, 0.1
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects: a score below ACCEPTED.
@@ -48,12 +50,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps each document as its rate says, once at most: the domains come near their target weights by what is left out.
 
-    The rates of the wanted domain are one or more, so its documents all stay; the others stay in part.
+    The earlier stages have left little of the unwanted domains, and what the classifier isn't sure of is spread over good
+    documents; so rates are held near one (KEEP), and the total is a little above the tokens there are (TOTAL), so that
+    good documents have rates of one or more and stay. Of the others a part stays.
     """
     model = mixing.train(docs, labelled(spark, sf_dir), DOMAINS)
     keyed = docs.withColumn("__id", F.xxhash64("doc_id", "text"))
     members = mixing.memberships(keyed.select("__id", "text"), model).drop("text")  # the fit writes these, so without texts
-    rates = mixing.fit_rates(members, TARGETS).select("__id", F.col("rate").alias("__rate")).dropDuplicates(["__id"])
+    rates = mixing.fit_rates(members, TARGETS, total=TOTAL, keep=KEEP).select("__id", F.col("rate").alias("__rate")).dropDuplicates(["__id"])
     return mixing.copies(keyed.join(rates, "__id"), docs.columns, rate="__rate", most=1)
 
 

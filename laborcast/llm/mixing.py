@@ -153,12 +153,13 @@ def _matrix(column: pa.ListArray, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width)
 
 
-def fit_rates(members: DataFrame, targets: list[float], total: float = 1.0) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], total: float = 1.0, keep: float = KEEP) -> DataFrame:
     """``members`` (see :func:`memberships`) with a column rate, replacing one of that name.
 
     Expected domain tokens should be ``total`` times all tokens now, shared by ``targets``. Residuals are weighed by one over
     what a domain has now, so rare domains count as much as common ones and the steps converge at once for clear
-    posteriors. A domain that no document belongs to can't be matched and is left out. Without tokens every rate is one.
+    posteriors. ``keep`` is the weight of staying near one: where domains can hardly be told apart, a small one takes a few
+    documents many times and leaves the others out, a larger one comes less near the targets. A domain that no document belongs to can't be matched and is left out. Without tokens every rate is one.
 
     A rate follows from the document's posterior and the steps so far, so nothing of a document is kept between steps. The
     steps read blocks of tokens and posteriors; of each they send one sum for each domain.
@@ -192,8 +193,8 @@ def fit_rates(members: DataFrame, targets: list[float], total: float = 1.0) -> D
     tokens, gram = first[-1], first[:-1].reshape(k, k) / first[-1]
     mass = gram.sum(axis=1)
     weight = np.where(mass > 1e-12, 1 / np.maximum(mass, 1e-12), 0)
-    step = 1 / (np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max() + KEEP)
-    shrink = step * KEEP
+    step = 1 / (np.linalg.eigvalsh(np.sqrt(weight)[:, None] * gram * np.sqrt(weight)).max() + keep)
+    shrink = step * keep
     history: list[tuple[np.ndarray, float]] = []
     before, still, age = None, 0, 0
     for _ in range(STEPS):
