@@ -65,3 +65,12 @@ def test_edge_rows(spark):
     assert all(r.rate >= 0 and np.isfinite(r.rate) for r in rates.collect())
     assert fit_rates(memberships(docs.limit(0), model), [1, 1, 1]).count() == 0
     assert {r.rate for r in fit_rates(memberships(docs.where("doc_id < 3"), model), [1, 1, 1]).collect()} == {1.0}
+
+
+def test_rates_stay_near_one_where_domains_look_alike(spark):
+    rng = np.random.default_rng(1)
+    p = np.clip(.04 + .01 * rng.normal(size=2000), .001, .2)
+    frame = spark.createDataFrame([(i, 10, [float(1 - x), float(x)]) for i, x in enumerate(p)] + [(5000 + i, 10, [0.0, 1.0]) for i in range(200)], "doc_id long, n_tokens long, posterior array<double>")
+    rows = fit_rates(frame, [.99, .01], total=1.1, keep=.1).collect()
+    alike, other = ([r.rate for r in rows if (r.doc_id >= 5000) == far] for far in (False, True))
+    assert min(alike) >= 1 and max(alike) < 1.5 and max(other) < .4
