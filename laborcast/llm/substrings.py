@@ -62,10 +62,11 @@ def segments(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (route, bucket, rid, state) from (rid, text): which document has which minimiser.
+    """Rows (route, other, state) from (rid, text): which document has which minimiser.
 
-    Documents of one part that share a minimiser are already known to (state 2); one of them (state 1) stands for them in
-    the bucket, so a minimiser of very many documents sends few rows there. State 0 is a document alone in its part.
+    Documents of one part that share a minimiser are already known to (state 2, with the document as route and the bucket
+    as the other); one of them (state 1) stands for them in the bucket, so a minimiser of very many documents sends few
+    rows there. State 0 is a document alone in its part. States 0 and 1 have the bucket as route, the document as the other.
     """
     for part, texts in slices(batches, "text", 32 << 20):
         rids = part.column(0).to_numpy()
@@ -79,11 +80,12 @@ def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.append(True, bucket[1:] != bucket[:-1])[:len(bucket)]
         alone = first & np.append(first[1:], True)[:len(bucket)]
         state = np.where(alone, 0, np.where(first, 1, 2)).astype(np.int8)
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(state == 2, rid, bucket)), pa.array(bucket), pa.array(rid), pa.array(state)], names=["route", "bucket", "rid", "state"])
+        settled = state == 2
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(settled, rid, bucket)), pa.array(np.where(settled, bucket, rid)), pa.array(state)], names=["route", "other", "state"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rid, bucket) for minimisers of two or more documents, from census rows sorted by route, bucket and state descending."""
+    """(rid, bucket) for minimisers of two or more documents, from census rows sorted by route and state descending."""
     open_bucket, waiting, met = None, [], False
 
     def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -91,10 +93,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(bucket)], names=["rid", "bucket"])
 
     for batch in batches:
-        bucket, rid, state = (batch.column(i).to_numpy() for i in (1, 2, 3))
+        bucket, rid, state = (batch.column(i).to_numpy() for i in range(3))
         if not len(bucket):
             continue
-        found = [(rid[state == 2], bucket[state == 2])]
+        found = [(bucket[state == 2], rid[state == 2])]
         bucket, rid, state = bucket[state != 2], rid[state != 2], state[state != 2]
         if len(bucket):
             if open_bucket == bucket[0] and not met and waiting:  # the row held back may now have company
@@ -245,8 +247,8 @@ def _sorted(rows: DataFrame, key: str, *then: str | Column) -> DataFrame:
 
 def spans(keyed: DataFrame, text: str) -> DataFrame:
     """(__rid, __spans): the words to remove, for rows with a text, __rid and __doc."""
-    census = keyed.select(F.col("__rid").alias("rid"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(_census, "route long, bucket long, rid long, state byte")
-    shared = _sorted(census, "route", "bucket", F.desc("state")).mapInArrow(_shared, "rid long, bucket long")
+    census = keyed.select(F.col("__rid").alias("rid"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(_census, "route long, other long, state byte")
+    shared = _sorted(census, "route", F.desc("state")).mapInArrow(_shared, "rid long, bucket long")
     lists = shared.repartition("rid").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("bucket").alias("__buckets"))  # no more than a text has windows
     # All columns go into the task, so that this join and the last one read the same exchange of the texts.
     packed = keyed.join(lists, "__rid").select(*[F.col(f"`{c}`") for c in keyed.columns], "__buckets").mapInArrow(_packed(text), "bucket long, least long, packed string, places array<long>")
