@@ -7,6 +7,7 @@ the bits that differ and are dropped when these exceed the budget.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -303,9 +304,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 #: The second use, :func:`deduplicated`: independent fingerprints of the sets of words, in as many tables, bring together
-#: texts that differ in a few words; which of them are near duplicates is then decided on the texts.
+#: most texts that differ in a few words; which of them are near duplicates is then decided on the texts. An exact join
+#: over prefixes of the shingle sets finds the pairs that the fingerprints leave.
 TABLES, SHINGLE, SIMILAR = 8, 5, 0.8
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(TABLES)], dtype=np.uint64)
+#: Cells of the shingle counts, which only order the shingles, and how many travel as one row.
+CELLS, _CELL_ROW = 1 << 20, 1 << 12
 
 
 def word_prints(text: str) -> np.ndarray:
@@ -338,12 +342,133 @@ def _digest(text: str):
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
-def near_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): nodes whose texts have a similarity of SIMILAR or more, found by fingerprints near each other.
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return hashes & (CELLS - 1)
 
-    ``prints`` has node and prints (one for each table), ``texts`` has node and text, once for each node at least. Equal
-    fingerprints are linked in a chain, near ones by :func:`fingerprint_links`; the texts decide.
+
+def shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts have a shingle of each cell."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for _, own in slices(batches, "text"):
+            total += np.bincount(_cell(np.concatenate([shingle_set(t) for t in own])), minlength=CELLS) if own else 0
+        yield pa.RecordBatch.from_arrays([pa.array(range(CELLS // _CELL_ROW), pa.int64()), pa.array(list(total.reshape(-1, _CELL_ROW)), pa.list_(pa.int64()))], names=["at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(1)):
+                total[at] = total.get(at, 0) + n.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(list(total.values()), pa.list_(pa.int64()))], names=["at", "n"])
+
+    out = np.zeros((CELLS // _CELL_ROW, _CELL_ROW), dtype=np.int64)
+    for r in texts.select("text").mapInArrow(count, "at long, n array<long>").repartition("at").mapInArrow(add, "at long, n array<long>").toArrow().to_batches():
+        for at, n in zip(r.column(0).to_pylist(), r.column(1)):
+            out[at] = n.values.to_numpy()
+    return out.ravel()
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, by the count of their cell: so many that another set with a similarity of SIMILAR has one
+    of them among its own first. A set without elements has a stand-in.
+
+    Such a pair shares SIMILAR of the larger set at least; if no first one were shared, fewer would be left to share.
+    """
+    if not len(hashes):
+        return np.zeros(1, np.int64)
+    take = len(hashes) - math.ceil(SIMILAR * len(hashes) - 1e-9) + 1
+    return hashes[np.argsort(counts[_cell(hashes)], kind="stable")[:take]]  # equal counts stay in the order of the hashes
+
+
+def most_shared(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, counts: np.ndarray) -> int:
+    """How many elements two sets can share by their prefixes: those seen in both, and all others up to the smaller rest.
+
+    Up to the end of the prefix that ends first both sets are known.
     """
+    ends = [(counts[_cell(x[-1])], np.uint64(x[-1].astype(np.uint64))) for x in (a, b)]
+    count, last = min(ends)
+    rest = []
+    for x, size in ((a, size_a), (b, size_b)):
+        n, h = counts[_cell(x)], x.view(np.uint64)
+        rest.append(size - int(((n < count) | (n == count) & (h <= last)).sum()))
+    return len(np.intersect1d(a, b, assume_unique=True)) + min(rest)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (h, node, size, pos), sorted by h, whose h another row has too."""
+    names, kept, had = ["h", "node", "size", "pos"], None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(4)]
+        if kept is not None:
+            columns = [np.append(k, c) for k, c in zip(kept, columns)]
+        same = columns[0][1:] == columns[0][:-1]
+        before = np.append(had, same)
+        keep = before[:-1] | same
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in columns], names=names)
+        kept, had = [c[-1:] for c in columns], bool(before[-1])
+    if had:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=names)
+
+
+def _group_pairs(every: bool):
+    """Pairs (a, b) of nodes that one h brings together and whose sizes and places allow a similarity of SIMILAR, from rows
+    (h, node, size, pos, root) sorted by h: all those with different roots, or those next to each other by size."""
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, node, size, pos, root = rows
+        order = np.lexsort((node, size, h))
+        h, node, size, pos, root = (x[order] for x in (h, node, size, pos, root))
+        n = len(h)
+        ends = np.repeat(np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1, np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), n)))
+        if every:
+            number = np.cumsum(np.append(0, h[1:] != h[:-1]))
+            key = number * (np.int64(1) << 40) + size
+            ends = np.minimum(ends, np.searchsorted(key, number * (np.int64(1) << 40) + (size / SIMILAR + 1e-6).astype(np.int64), "right"))
+        else:
+            ends = np.minimum(ends, np.arange(n) + 2)
+        more = np.maximum(ends - np.arange(n) - 1, 0)
+        upto = np.cumsum(more)
+        start = 0
+        while start < n:
+            end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + FRONTIER, "right")))
+            m = more[start:end]
+            x = np.repeat(np.arange(start, end), m)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+            start = end
+            shared = 1 + np.minimum(size[x] - 1 - pos[x], size[y] - 1 - pos[y])
+            good = (root[x] != root[y]) & (shared >= SIMILAR / (1 + SIMILAR) * (size[x] + size[y]) - 1e-6)
+            x, y = node[x[good]], node[y[good]]
+            if len(x):
+                a, b = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(i).to_numpy() for i in range(5)]
+            changes = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
+            if held and rows[0][0] != held[-1][0][-1]:
+                cuts = [0, *changes[-1:]]
+            else:
+                cuts = [*changes[-1:]]
+            if cuts:  # what comes before the batch's last group is whole
+                ready = [np.concatenate(c) for c in zip(*held, [r[:cuts[-1]] for r in rows])]
+                yield from pairs(ready)
+                held = []
+                rows = [r[cuts[-1]:] for r in rows]
+            held.append(rows)
+        if held:
+            yield from pairs([np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+def print_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): nodes with fingerprints near each other, from rows (node, prints) with one fingerprint for each table. Equal
+    fingerprints give a chain, near ones what :func:`fingerprint_links` gives."""
     tables = cut(prints.select("node", F.posexplode("prints").alias("tab", "fingerprint")))
     same = Window.partitionBy("tab", "fingerprint").orderBy("node")
     chain = tables.withColumn("b", F.lag("node").over(same)).where("b is not null").select(F.col("node").alias("a"), "b")
@@ -351,8 +476,27 @@ def near_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
     links = fingerprint_links(names)
     for end in ("a", "b"):
         links = links.join(names.select("tab", F.col("fingerprint").alias(end), F.col("node").alias(f"node_{end}")), ["tab", end])
-    pairs = links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionAll(chain)
-    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionAll(chain)
+
+
+def confirmed(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, counts) -> DataFrame:
+    """(a, b): the pairs of nodes whose texts have a similarity of SIMILAR or more.
+
+    ``prefixes`` has node, size and prefix, ``texts`` has node and text, once for each node at least. The prefixes rule
+    out most pairs that aren't alike, before texts move.
+    """
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = batch.column(3), batch.column(5)
+            sizes = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())
+            keep = [most_shared(x.values.to_numpy(), m, y.values.to_numpy(), n, counts.value) >= SIMILAR / (1 + SIMILAR) * (m + n) - 1e-6 for (m, n), x, y in zip(sizes, p, q)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda node, size, own: prefixes.select(F.col("node").alias(node), F.col("size").alias(size), F.col("prefix").alias(own))
+    pairs = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y")
+    pairs = cut(pairs.mapInArrow(possible, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +513,25 @@ def near_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return cut(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, counts) -> DataFrame:
+    """(a, b): links that join the same nodes as all pairs of texts with a similarity of SIMILAR or more.
+
+    ``nodes`` has node, prints, size and prefix. Pairs by fingerprints, and pairs next to each other in the groups of the
+    prefix join, are checked first. What they join needs no more pairs inside; every pair of the groups that is still
+    apart is then checked, so that a check that fails never stands for a pair that was not made.
+    """
+    prefixes = nodes.select("node", "size", "prefix")
+    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"))
+    by_h = lambda df: df.repartition("h").sortWithinPartitions("h")
+    met = cut(by_h(rows).mapInArrow(_met, "h long, node long, size long, pos long"))
+    near = by_h(met.withColumn("root", F.col("node"))).mapInArrow(_group_pairs(False), "a long, b long")
+    links = confirmed(print_pairs(nodes.select("node", "prints")).unionAll(near), prefixes, texts, counts)
+    roots = components(links, "a", "b")
+    apart = met.join(roots, "node", "left").select("h", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+    return links.unionAll(confirmed(by_h(apart).mapInArrow(_group_pairs(True), "a long, b long"), prefixes, texts, counts))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -381,16 +543,19 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     number = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(number.alias("k"), _digest(text).alias("digest"), F.coalesce(text, F.lit("")).alias("text"))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(rows))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in slices(batches, "text"):
             prints = pa.array([word_prints(t).view(np.int64) for t in own], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], prints], names=["k", "digest", "prints"])
+            sets = [shingle_set(t) for t in own]
+            first = pa.array([prefix(s, counts.value) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], prints, pa.array(map(len, sets), pa.int32()), first], names=["k", "digest", "prints", "size", "prefix"])
 
-    prints = rows.mapInArrow(printed, "k long, digest string, prints array<long>")
-    nodes = cut(prints.groupBy("digest").agg(F.min("k").alias("k"), F.first("prints").alias("prints")).withColumn("node", F.xxhash64("digest")))
+    prints = rows.mapInArrow(printed, "k long, digest string, prints array<long>, size int, prefix array<long>")
+    nodes = cut(prints.groupBy("digest").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("prints", "size", "prefix")]).withColumn("node", F.xxhash64("digest")))
     texts = rows.join(nodes.select("digest", "k", "node"), ["digest", "k"]).select("node", "text")
-    roots = components(near_links(nodes.select("node", "prints"), texts), "a", "b")
+    roots = components(near_links(nodes.select("node", "prints", "size", "prefix"), texts, counts), "a", "b")
     grouped = cut(nodes.select("digest", "k", "node").join(roots, "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("k", "digest")).alias("first"))
     gone = grouped.join(first, "root").where(F.struct("k", "digest") != F.col("first")).select("digest")

@@ -126,3 +126,41 @@ def test_deduplication_of_edge_rows(spark):
     assert out.columns == frame.columns
     assert sorted((r.doc_id or 0, r.text[:7]) for r in out.collect()) == [(0, "a b c d"), (0, "only"), (3, "a b c"), (4, ""), (9, "one two")]
     assert simhash.deduplicated(frame.limit(0)).count() == 0
+
+
+def kept_by_brute_force(docs):
+    root = {k: k for k in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    keys = sorted(docs)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if jaccard(docs[a], docs[b]) >= .8:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k for k in docs if find(k) == k}
+
+
+def deduplicated_ids(spark, docs):
+    return {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+
+
+def test_shuffled_texts_between_near_copies(spark):
+    rng, docs = random.Random(4), {}
+    for group in range(8):
+        words = [f"w{group}x{i}" for i in range(120)]
+        for copy in range(9):  # one set of words: near copies and texts in another order, mixed by the order of their nodes
+            own = words[:]
+            if copy % 3:
+                rng.shuffle(own)
+            else:
+                at = rng.randrange(100)
+                own[at], own[at + 1] = own[at + 1], own[at]
+            docs[10 * group + copy] = " ".join(own)
+    expected = kept_by_brute_force(docs)
+    assert len(expected) == 8 * 7
+    assert deduplicated_ids(spark, docs) == expected
