@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, that with the smallest doc_id; of equal rows one.
 
-    Groups are those of SimHash links over shingles of five words that a check of the shingles confirms
-    (:func:`laborcast.llm.simhash.deduplicated`).
+    Groups are what links of texts reach whose sets of five-word shingles have a similarity of 0.8 or more: SimHash tables
+    give the first pairs, an exact join the others (:func:`laborcast.llm.simhash.deduplicated`).
     """
     return simhash.deduplicated(docs)
 

@@ -164,3 +164,26 @@ def test_shuffled_texts_between_near_copies(spark):
     expected = kept_by_brute_force(docs)
     assert len(expected) == 8 * 7
     assert deduplicated_ids(spark, docs) == expected
+
+
+def test_passages_appended_truncated_and_replaced(spark):
+    rng, docs, partners = random.Random(5), {}, 0
+    vocabulary = [f"v{i}" for i in range(4000)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for i in range(60):
+        words, share = draw(rng.randint(80, 400)), rng.uniform(.04, .18)
+        n = int(len(words) * share)
+        if i % 3 == 0:
+            other = words + draw(n)
+        elif i % 3 == 1:
+            other = words[:len(words) - n]
+        else:
+            at = rng.randrange(len(words) - n)
+            other = words[:at] + draw(n // 2) + words[at + n // 2:]
+        docs[2 * i], docs[2 * i + 1] = " ".join(words), " ".join(other)
+        partners += jaccard(docs[2 * i], docs[2 * i + 1]) >= .8
+    expected = kept_by_brute_force(docs)
+    assert len(docs) - len(expected) == partners > 50
+    got = deduplicated_ids(spark, docs)
+    print("partners", partners, "found", len(docs) - len(got))
+    assert got == expected
