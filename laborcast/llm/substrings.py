@@ -56,9 +56,13 @@ def segments(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(least):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     start = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-    if len(start) * LONGEST < len(least):
-        start = np.union1d(start, np.arange(0, len(least), LONGEST))
-    return start, np.append(start[1:], len(least))
+    end = np.append(start[1:], len(least))
+    long = end - start > LONGEST
+    if long.any():
+        start = np.concatenate([start[~long], *(np.arange(a, b, LONGEST) for a, b in zip(start[long], end[long]))])
+        start.sort()
+        end = np.append(start[1:], len(least))
+    return start, end
 
 
 def _census(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,3 +59,22 @@ def test_edge_columns(spark):
     assert out.columns == ["doc_id", "text", "rid", "doc", "kept", "n_words", "n_removed"]
     assert tuple(out.first()) == (1, "a b", 5, None, "a b", 2, 0)
     assert remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_one_long_run_after_ordinary_words():
+    rng = random.Random(6)
+    words = [b"w%d" % rng.randrange(900) for _ in range(2000)] + [b"x"] * 1_100_000
+    least = substrings.minimisers(words)
+    start, end = substrings.segments(least)
+    assert (start[1:] == end[:-1]).all() and start[0] == 0 and end[-1] == len(least)
+    assert (end - start).max() <= substrings.LONGEST
+    assert all((least[a:b] == least[a]).all() for a, b in zip(start, end))
+
+
+def test_long_shared_run_is_removed_whole(spark):
+    run = " x" * 1_100_000
+    first, second = (" ".join(f"{name}{i}" for i in range(2001)) for name in "ab")
+    frame = spark.createDataFrame([(1, first + run), (2, second + run)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in remove_repeats(frame).collect()}
+    assert got[1] == (1_102_001, 0, first + run)
+    assert got[2] == (1_102_001, 1_100_000, second)
