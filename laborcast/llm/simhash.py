@@ -479,11 +479,11 @@ def print_pairs(prints: DataFrame) -> DataFrame:
     return links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).unionAll(chain)
 
 
-def confirmed(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, counts) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, counts) -> DataFrame:
     """(a, b): the pairs of nodes whose texts have a similarity of SIMILAR or more.
 
-    ``prefixes`` has node, size and prefix, ``texts`` has node and text, once for each node at least. The prefixes rule
-    out most pairs that aren't alike, before texts move.
+    ``nodes`` has node, digest, k, size and prefix, ``rows`` has digest, k and text, once for each node at least. The
+    prefixes rule out most pairs that aren't alike, before texts move; they then move once.
     """
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -494,7 +494,7 @@ def confirmed(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, counts) -
             keep = [most_shared(x.values.to_numpy(), m, y.values.to_numpy(), n, counts.value) >= SIMILAR / (1 + SIMILAR) * (m + n) - 1e-6 for (m, n), x, y in zip(sizes, p, q)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda node, size, own: prefixes.select(F.col("node").alias(node), F.col("size").alias(size), F.col("prefix").alias(own))
+    side = lambda node, size, own: nodes.select(F.col("node").alias(node), F.col("size").alias(size), F.col("prefix").alias(own))
     pairs = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y")
     pairs = cut(pairs.mapInArrow(possible, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -503,7 +503,8 @@ def confirmed(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, counts) -
         for part, own in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t) for t in own], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    sets = texts.join(wanted, "node", "left_semi").select("node", "text").mapInArrow(shingled, "node long, shingles array<long>")
+    wanted = nodes.select("node", "digest", "k").join(wanted, "node")
+    sets = rows.join(wanted, ["digest", "k"]).select("node", "text").mapInArrow(shingled, "node long, shingles array<long>")
     sets = cut(sets.dropDuplicates(["node"]))
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,22 +517,21 @@ def confirmed(pairs: DataFrame, prefixes: DataFrame, texts: DataFrame, counts) -
     return cut(both.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"))
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, counts) -> DataFrame:
+def near_links(nodes: DataFrame, rows: DataFrame, counts) -> DataFrame:
     """(a, b): links that join the same nodes as all pairs of texts with a similarity of SIMILAR or more.
 
-    ``nodes`` has node, prints, size and prefix. Pairs by fingerprints, and pairs next to each other in the groups of the
+    ``nodes`` and ``rows`` are those of :func:`confirmed`, nodes with prints. Pairs by fingerprints, and pairs next to each other in the groups of the
     prefix join, are checked first. What they join needs no more pairs inside; every pair of the groups that is still
     apart is then checked, so that a check that fails never stands for a pair that was not made.
     """
-    prefixes = nodes.select("node", "size", "prefix")
-    rows = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"))
+    places = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "h")).select("h", "node", F.col("size").cast("long").alias("size"), F.col("pos").cast("long").alias("pos"))
     by_h = lambda df: df.repartition("h").sortWithinPartitions("h")
-    met = cut(by_h(rows).mapInArrow(_met, "h long, node long, size long, pos long"))
+    met = cut(by_h(places).mapInArrow(_met, "h long, node long, size long, pos long"))
     near = by_h(met.withColumn("root", F.col("node"))).mapInArrow(_group_pairs(False), "a long, b long")
-    links = confirmed(print_pairs(nodes.select("node", "prints")).unionAll(near), prefixes, texts, counts)
+    links = confirmed(print_pairs(nodes.select("node", "prints")).unionAll(near), nodes, rows, counts)
     roots = components(links, "a", "b")
     apart = met.join(roots, "node", "left").select("h", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
-    return links.unionAll(confirmed(by_h(apart).mapInArrow(_group_pairs(True), "a long, b long"), prefixes, texts, counts))
+    return links.unionAll(confirmed(by_h(apart).mapInArrow(_group_pairs(True), "a long, b long"), nodes, rows, counts))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -554,8 +554,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     prints = rows.mapInArrow(printed, "k long, digest string, prints array<long>, size int, prefix array<long>")
     nodes = cut(prints.groupBy("digest").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("prints", "size", "prefix")]).withColumn("node", F.xxhash64("digest")))
-    texts = rows.join(nodes.select("digest", "k", "node"), ["digest", "k"]).select("node", "text")
-    roots = components(near_links(nodes.select("node", "prints", "size", "prefix"), texts, counts), "a", "b")
+    roots = components(near_links(nodes, rows, counts), "a", "b")
     grouped = cut(nodes.select("digest", "k", "node").join(roots, "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("k", "digest")).alias("first"))
     gone = grouped.join(first, "root").where(F.struct("k", "digest") != F.col("first")).select("digest")
