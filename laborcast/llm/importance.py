@@ -20,13 +20,11 @@ from pyspark.sql import types as T
 
 from .position_crc import crc32_spans
 from .shared import cut, extended, with_columns, without
+from .wordbytes import parts, word_spans
 
 BUCKETS = 10_000
-#: What a byte of a text is turned into: A-Z into a-z; 0 for what separates words, which are digits, letters and all bytes above 127.
-_WORD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 0 for b in range(256)], dtype=np.uint8)
 #: Scores are put into steps of this many thousandths to find from where rows can be drawn; there are some 1,500 steps at most.
 STEP = 64
-_PART = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -37,42 +35,12 @@ class Gains:
     longest: int
 
 
-def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column and the place where each text starts, with the end; null is empty."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, dtype=np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.empty(0, dtype=np.uint8)
-    return data, offsets - offsets[0]
-
-
-def _parts(column: pa.Array) -> Iterator[pa.Array]:
-    """Consecutive rows whose texts come to about _PART bytes, one row at least. They have no effect on results."""
-    sizes = np.cumsum(np.diff(_texts(column)[1]))
-    first = 0
-    while first < len(column):
-        last = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + _PART)))
-        yield column.slice(first, last - first)
-        first = last
-
-
 def runs(column: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(crc32 of every run, runs of each text, words of each text); the runs of a text stand together, in order of its row.
 
     Runs are of 1 to ``longest`` consecutive words of a text, joined by one space.
     """
-    data, offsets = _texts(column)
-    data = _WORD[data]
-    inside = data != 0
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes[:-1] &= ~inside[1:]
-    borders = offsets[(offsets > 0) & (offsets < len(data))]  # a word ends with its text
-    opens[borders] = inside[borders]
-    closes[borders - 1] = inside[borders - 1]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    words = np.diff(np.searchsorted(start, offsets))
-    size = end - start
+    data, start, size, words = word_spans(column)
     if longest == 1:
         return crc32_spans(data, start, size), words, words
     # words with one space after each, so that a run is one span
@@ -98,8 +66,9 @@ def bucket_counts(texts: DataFrame, text: str = "text", longest: int = 1, bucket
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for part in _parts(batch.column(0)):
-                total += np.bincount(runs(part, longest)[0] % buckets, minlength=buckets)
+            column = batch.column(0)
+            for rows in parts(column):
+                total += np.bincount(runs(column[rows], longest)[0] % buckets, minlength=buckets)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["bucket", "n"])
 
@@ -135,8 +104,9 @@ def weigh(docs: DataFrame, gains: Gains, text: str = "text") -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, features, weight = [], [], []
-            for part in _parts(batch.column(place)):
-                crcs, n, k = runs(part, gains.longest)
+            column = batch.column(place)
+            for rows in parts(column):
+                crcs, n, k = runs(column[rows], gains.longest)
                 upto = np.concatenate([[0], np.cumsum(gains.values[crcs % buckets])])
                 ends = np.cumsum(n)
                 words.append(k)
