@@ -1,7 +1,8 @@
 """Candidate-to-job matching and job ranking over pairs that are worth comparing.
 
-Pairs come from the caller: applications, or ``pairs_in_market``, which meets candidates and jobs on role and
-city. Nothing here forms every candidate-job combination.
+Pairs come from the caller: applications, or the markets that :mod:`best_matches` searches. Nothing here forms every
+candidate-job combination. A job's skills are one list and a candidate's credits one map, both no longer than the taxonomy,
+so a pair is scored inside its row and meets each side once.
 """
 from __future__ import annotations
 
@@ -36,12 +37,6 @@ def normalized(weights: dict[str, float] | None, default: dict[str, float]) -> d
     return {k: v / total for k, v in chosen.items()}
 
 
-def pairs_in_market(requests: DataFrame, jobs: DataFrame) -> DataFrame:
-    """(candidate_id, job_id) for candidates who search a role in a city and the jobs offered there."""
-    return requests.select("candidate_id", "role", "city").join(jobs.select("job_id", "role", F.col("location").alias("city")), ["role", "city"]) \
-        .select(*PAIR)
-
-
 # --- market profile -------------------------------------------------------------------------------
 
 def market_profile(job_skills: DataFrame, by: list[str], *, k: int | None = PROFILE_TOP) -> DataFrame:
@@ -93,11 +88,14 @@ def skills_confidence(job_skills: DataFrame) -> DataFrame:
 
 # --- skills ---------------------------------------------------------------------------------------
 
+def _credit() -> Column:
+    level = F.col("level")
+    return F.when(level == 0, 0.0).when(level == 1, 0.6).when(level == 2, 0.8).otherwise(1.0) * F.when(F.col("needs_verification"), 0.5).otherwise(1.0)
+
+
 def skill_credits(candidate_skills: DataFrame, skills: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Credit per candidate skill, and per parent of one."""
-    level = F.col("level")
-    credit = F.when(level == 0, 0.0).when(level == 1, 0.6).when(level == 2, 0.8).otherwise(1.0) * F.when(F.col("needs_verification"), 0.5).otherwise(1.0)
-    direct = candidate_skills.groupBy("candidate_id", "skill_id").agg(F.max(credit).alias("credit"))
+    direct = candidate_skills.groupBy("candidate_id", "skill_id").agg(F.max(_credit()).alias("credit"))
     parents = skills.where("maps_to IS NOT NULL").select(F.col("id").alias("skill_id"), "maps_to")
     via = direct.join(parents, "skill_id").groupBy("candidate_id", F.col("maps_to").alias("skill_id")).agg(F.max("credit").alias("via_credit"))
     return direct, via
@@ -129,14 +127,61 @@ def skill_scores(rows: DataFrame) -> DataFrame:
         F.sum("w").alias("_w"), share.alias("_inferred"), names(F.col("c") > 0).alias("matched"), names(F.col("c") <= 0).alias("missing"))
 
 
-def keyword_scores(pairs: DataFrame, jobs: DataFrame, candidate_skills: DataFrame) -> DataFrame:
-    """Share of a candidate's top skills found as whole words in the job text, for jobs without skills."""
-    best = top_k(candidate_skills, ["candidate_id"], [F.desc("level"), F.asc("skill_id")], KEYWORD_TOP) \
-        .groupBy("candidate_id").agg(F.collect_list("skill_id").alias("_top"))
-    text = F.lower(F.concat_ws("\n", "title", F.coalesce("description", F.lit(""))))
-    rows = pairs.join(jobs.select("job_id", text.alias("_text")), "job_id").join(best, "candidate_id", "left")
-    found = F.filter("_top", lambda s: F.call_function("rlike", F.col("_text"), F.concat(F.lit("\\b\\Q"), F.replace(s, F.lit("_"), F.lit(" ")), F.lit("\\E\\b"))))
-    return rows.select(*PAIR, F.coalesce(F.size(found) / F.nullif(F.size("_top"), F.lit(0)), F.lit(0.0)).alias("skills"))
+def job_lists(jobs: DataFrame, job_skills: DataFrame, skills: DataFrame, broad: Column) -> DataFrame:
+    """(job_id, items, text): each job's skills with their weights, concrete before broad and own before inferred.
+
+    Jobs without skills have no items and, for the keyword fallback, their title and description as lower-case text.
+    """
+    facts = job_skills.join(skills.select(F.col("id").alias("skill_id"), F.col("maps_to").alias("parent"), "is_category"), "skill_id", "left")
+    weight = F.when(F.col("inferred"), INFERRED_WEIGHT).otherwise(1.0) * F.when(broad, BROAD_WEIGHT).otherwise(1.0)
+    item = F.struct(broad.alias("broad"), "inferred", "skill_id", "parent", weight.alias("w"))
+    lists = facts.groupBy("job_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("description", F.lit(""))))
+    return jobs.select("job_id", "title", "description").join(lists, "job_id", "left") \
+        .select("job_id", "items", F.when(F.col("items").isNull(), text).alias("text"))
+
+
+def credit_maps(candidate_skills: DataFrame, skills: DataFrame) -> DataFrame:
+    """(candidate_id, credits, via, top): credit per held skill and per parent of one, and the skills of the highest levels."""
+    parents = skills.where("maps_to IS NOT NULL").select(F.col("id").alias("skill_id"), F.col("maps_to").alias("parent"))
+    own = F.struct(F.lit(False).alias("up"), F.col("skill_id").alias("key"), _credit().alias("credit"), F.col("level").alias("level"))
+    above = F.struct(F.lit(True).alias("up"), F.col("parent").alias("key"), _credit().alias("credit"), F.lit(0).alias("level"))
+    rows = candidate_skills.join(parents, "skill_id", "left").select("candidate_id", F.inline_outer(F.array(own, above))).where("key IS NOT NULL")
+    best = rows.groupBy("candidate_id", "up", "key").agg(F.max("credit").alias("credit"), F.max("level").alias("level"))
+    entry, up = F.struct("key", "credit"), F.col("up")
+    sides = best.groupBy("candidate_id").agg(F.collect_list(F.when(~up, entry)).alias("own"), F.collect_list(F.when(up, entry)).alias("above"),
+                                             F.array_sort(F.collect_list(F.when(~up, F.struct((-F.col("level")).alias("order"), "key")))).alias("order"))
+    return sides.select("candidate_id", F.map_from_entries("own").alias("credits"), F.map_from_entries("above").alias("via"),
+                        F.slice(F.transform("order", lambda x: x["key"]), 1, KEYWORD_TOP).alias("top"))
+
+
+def pair_scores(pairs: DataFrame, lists: DataFrame, credits: DataFrame) -> DataFrame:
+    """The skill component of every pair with matched and missing lists.
+
+    Jobs without skills are scored by the share of the candidate's top skills that stand in their text as whole words (M07);
+    what is found there is matched, and nothing is missing.
+    """
+    rows = pairs.join(lists, "job_id").join(credits, "candidate_id", "left")
+
+    def credit(x: Column) -> Column:
+        held = [F.nullif(F.try_element_at(m, x["skill_id"]), F.lit(0.0)) for m in ("credits", "via")]
+        return F.coalesce(*held, F.try_element_at("credits", x["parent"]) * RELATED_CREDIT, F.lit(0.0))
+
+    scored = F.transform("items", lambda x: F.struct(x["skill_id"].alias("skill_id"), x["inferred"].alias("inferred"), x["w"].alias("w"), credit(x).alias("c")))
+    found = F.filter("top", lambda s: F.call_function("rlike", F.col("text"), F.concat(F.lit("\\b\\Q"), F.replace(s, F.lit("_"), F.lit(" ")), F.lit("\\E\\b"))))
+    wide = rows.select(*[F.col(c) for c in pairs.columns], F.col("items").isNull().alias("by_text"), scored.alias("_s"), "top", found.alias("_found"))
+    zero = F.lit(0.0)
+    total = lambda f: F.aggregate("_s", zero, lambda acc, x: acc + f(x))
+    share = total(lambda x: x["inferred"].cast("double")) / F.size("_s")
+    by_skills = total(lambda x: x["w"] * x["c"]) / total(lambda x: x["w"]) * (1.0 - INFERRED_PENALTY * share)
+    by_text = F.coalesce(F.size("_found") / F.nullif(F.size("top"), F.lit(0)), zero)
+    none = F.array().cast("array<string>")
+    names = lambda keep: F.transform(F.filter("_s", keep), lambda x: x["skill_id"])
+    return wide.select(
+        *[F.col(c) for c in pairs.columns], F.when(F.col("by_text"), by_text).otherwise(by_skills).alias("skills"),
+        F.when(~F.col("by_text"), total(lambda x: x["w"])).alias("_w"), F.when(~F.col("by_text"), share).alias("_inferred"),
+        F.when(F.col("by_text"), F.coalesce("_found", none)).otherwise(names(lambda x: x["c"] > 0)).alias("matched"),
+        F.when(F.col("by_text"), none).otherwise(names(lambda x: x["c"] <= 0)).alias("missing"), "by_text")
 
 
 # --- the other components -------------------------------------------------------------------------
@@ -158,20 +203,28 @@ def candidate_level(years: Column) -> Column:
     return F.when(years < 0.5, 0).when(years < 2, 1).when(years < 5, 2).when(years < 8, 3).when(years < 12, 4).otherwise(5)
 
 
-def seniority_score(title: Column, years: Column, band: Column) -> Column:
-    """1 less 0.3 per level between the job (title words, else its band) and the candidate."""
+def job_level(title: Column, band: Column) -> Column:
+    """The level of a job: from its title words, else from its band; NULL if neither says anything."""
     named = reduce(lambda acc, r: F.when(title_words(title, r[1]), r[0]).otherwise(acc), reversed(SENIORITY), F.lit(None).cast("int"))
-    job = F.coalesce(named, F.when(band.isNotNull(), candidate_level(band["min"])))
-    return F.when(job.isNull(), NEUTRAL).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.3 * F.abs(job - candidate_level(years))))
+    return F.coalesce(named, F.when(band.isNotNull(), candidate_level(band["min"])))
+
+
+def level_score(level: Column, years: Column) -> Column:
+    """1 less 0.3 per level between the job and the candidate."""
+    return F.when(level.isNull(), NEUTRAL).otherwise(F.greatest(F.lit(0.0), 1.0 - 0.3 * F.abs(level - candidate_level(years))))
 
 
 def degree_level(text: Column) -> Column:
     return reduce(lambda acc, r: F.when(F.lower(text).rlike(r[1]), r[0]).otherwise(acc), reversed(DEGREES), F.lit(0))
 
 
-def education_score(education: Column, title: Column, description: Column) -> Column:
+def wanted_degree(title: Column, description: Column) -> Column:
+    """The degree that a job's description mentions, else its title; 0 for none."""
+    return F.when(degree_level(description) > 0, degree_level(description)).otherwise(degree_level(title))
+
+
+def degree_score(education: Column, wanted: Column) -> Column:
     """1 when the candidate's highest degree meets what the job mentions, else 0.6, or 0.4 without one."""
-    wanted = F.when(degree_level(description) > 0, degree_level(description)).otherwise(degree_level(title))
     have = F.coalesce(F.array_max(F.transform(education, degree_level)), F.lit(0))
     return F.when(wanted == 0, 1.0).when(have >= wanted, 1.0).when(have > 0, 0.6).otherwise(0.4)
 
@@ -199,22 +252,34 @@ def match_class(overall: Column) -> Column:
     return F.when(overall >= 0.80, "Strong").when(overall >= 0.65, "Good").when(overall >= 0.45, "Partial").otherwise("Weak")
 
 
-def match_pairs(scored: DataFrame, jobs: DataFrame, candidates: DataFrame, *, weights: dict[str, float] | None = None, work_modes: list[str] = (),
-                employment_types: list[str] = (), min_lpa: float | None = None, requested: Column | None = None) -> DataFrame:
-    """Six components, overall score and class per pair.
+def components(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, *, work_modes: list[str] = (), employment_types: list[str] = (),
+               min_lpa: float | None = None, requested: Column | None = None) -> DataFrame:
+    """The five components beside skills per pair, with the columns of both sides.
 
-    ``scored`` has the pair and ``skills``; ``candidates`` (candidate_id, experience_years, education array, cities array).
+    ``candidates`` has (candidate_id, experience_years, education array, cities array).
     """
-    w = normalized(weights, MATCH_WEIGHTS)
-    rows = scored.join(jobs, "job_id").join(candidates, "candidate_id").withColumn("band", experience_band(requested))
+    rows = pairs.join(jobs, "job_id").join(candidates, "candidate_id").withColumn("band", experience_band(requested))
     years, band = F.col("experience_years"), F.col("band")
-    parts = rows.select(
-        "*", experience_score(years, band).alias("experience"), education_score(F.col("education"), F.col("title"), F.col("description")).alias("education_match"),
+    return rows.select(
+        "*", experience_score(years, band).alias("experience"), degree_score(F.col("education"), wanted_degree(F.col("title"), F.col("description"))).alias("education_match"),
         location_score(F.col("work_mode"), F.col("location"), F.col("cities")).alias("location_match"),
-        seniority_score(F.col("title"), years, band).alias("seniority"), preference_score(list(work_modes), list(employment_types), min_lpa).alias("preference"))
-    overall = (F.col("skills") * w["skills"] + F.col("experience") * w["experience"] + F.col("education_match") * w["education"]
-               + F.col("location_match") * w["location"] + F.col("seniority") * w["seniority"] + F.col("preference") * w["preference"])
-    return parts.withColumn("overall", F.round(overall, 4)).withColumn("match_class", match_class(F.col("overall")))
+        level_score(job_level(F.col("title"), band), years).alias("seniority"), preference_score(list(work_modes), list(employment_types), min_lpa).alias("preference"))
+
+
+def overall_score(weights: dict[str, float] | None = None) -> Column:
+    """The weighted sum of the six components, not yet rounded."""
+    w = normalized(weights, MATCH_WEIGHTS)
+    return (F.col("skills") * w["skills"] + F.col("experience") * w["experience"] + F.col("education_match") * w["education"]
+            + F.col("location_match") * w["location"] + F.col("seniority") * w["seniority"] + F.col("preference") * w["preference"])
+
+
+def classified(parts: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    return parts.withColumn("overall", F.round(overall_score(weights), 4)).withColumn("match_class", match_class(F.col("overall")))
+
+
+def match_pairs(scored: DataFrame, jobs: DataFrame, candidates: DataFrame, *, weights: dict[str, float] | None = None, **wishes) -> DataFrame:
+    """Six components, overall score and class per pair (M08-M13); ``scored`` has the pair and ``skills``, ``wishes`` go to :func:`components`."""
+    return classified(components(scored, jobs, candidates, **wishes), weights)
 
 
 # --- ranking --------------------------------------------------------------------------------------
@@ -234,14 +299,21 @@ def recency(now: Column) -> Column:
     return score * F.when(F.col("stale"), 0.8).otherwise(1.0)
 
 
+def rank_score(match: Column, salary: Column, fresh: Column) -> Column:
+    """The weighted sum of the five parts of a rank, not yet rounded."""
+    parts = {"match": match, "location": F.col("location_match"), "experience": F.col("experience"), "salary": salary, "recency": fresh}
+    return reduce(lambda a, b: a + b, [parts[n] * w for n, w in RANK_WEIGHTS.items()])
+
+
+def rank_order() -> list[Column]:
+    return [F.desc("rank_score"), F.desc("overall"), F.desc_nulls_last("posted_at"), F.asc("job_id")]
+
+
 def rank_jobs(matches: DataFrame, median: Column, now: Column, *, k: int | None = None) -> DataFrame:
-    """Rank score per pair and, with ``k``, each candidate's best jobs in order."""
-    parts = {"match": F.col("overall"), "location": F.col("location_match"), "experience": F.col("experience"),
-             "salary": salary_attractiveness(median), "recency": recency(now)}
-    score = reduce(lambda a, b: a + b, [parts[n] * w for n, w in RANK_WEIGHTS.items()])
-    out = matches.select("*", parts["salary"].alias("salary_score"), parts["recency"].alias("recency_score"), F.round(score, 4).alias("rank_score"))
-    order = [F.desc("rank_score"), F.desc("overall"), F.desc_nulls_last("posted_at"), F.asc("job_id")]
-    return top_k(out, ["candidate_id"], order, k) if k else out
+    """Rank score per pair and, with ``k``, each candidate's best jobs in order (M16, T06). ``median`` is that of the job's market."""
+    salary, fresh = salary_attractiveness(median), recency(now)
+    out = matches.select("*", salary.alias("salary_score"), fresh.alias("recency_score"), F.round(rank_score(F.col("overall"), salary, fresh), 4).alias("rank_score"))
+    return top_k(out, ["candidate_id"], rank_order(), k) if k else out
 
 
 def skill_unlocks(matches: DataFrame, rows: DataFrame, wanted: DataFrame, *, weight: float = MATCH_WEIGHTS["skills"]) -> DataFrame:

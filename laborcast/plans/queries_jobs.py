@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import places, posting_text
-from ..operators import facts, matching as mt, postings as po, ranks, salary as sal, taxonomy as tax
+from ..operators import best_matches as bm, facts, matching as mt, postings as po, ranks, salary as sal, taxonomy as tax
 from .catalog import decimal_round, query
 from .lenses import lens
 from .queries_facts import BANDS_SQL, role_bands
@@ -85,7 +85,10 @@ via AS (SELECT d.candidate_id, s.maps_to AS skill_id, max(credit) AS credit FROM
 sr AS (SELECT a.candidate_id, a.job_id, j.skill_id, j.inferred, (CASE WHEN j.inferred THEN 0.5 ELSE 1.0 END * CASE WHEN j.skill_id IN {BROAD_SQL} THEN 0.5 ELSE 1.0 END)::DOUBLE AS w, coalesce(nullif(d.credit, 0), nullif(v.credit, 0), 0.5 * pd.credit, 0) AS c
   FROM applications a JOIN job_skills j USING (job_id) LEFT JOIN skills s ON s.id = j.skill_id LEFT JOIN direct d ON d.candidate_id = a.candidate_id AND d.skill_id = j.skill_id LEFT JOIN via v ON v.candidate_id = a.candidate_id AND v.skill_id = j.skill_id
   LEFT JOIN direct pd ON pd.candidate_id = a.candidate_id AND pd.skill_id = s.maps_to),
-ss AS (SELECT candidate_id, job_id, sum(w * c) / sum(w) * (1 - 0.3::DOUBLE * avg(CASE WHEN inferred THEN 1.0 ELSE 0.0 END)) AS skills FROM sr GROUP BY ALL)"""
+top8 AS (SELECT candidate_id, list(skill_id ORDER BY level DESC, skill_id)[1:8] AS top FROM profile_skills GROUP BY candidate_id),
+kw AS (SELECT a.candidate_id, a.job_id, CASE WHEN top IS NULL THEN 0.0 ELSE len(list_filter(top, lambda s: regexp_matches(lower(concat(coalesce(j.title, ''), chr(10), coalesce(j.description, ''))), '\\b' || regexp_escape(replace(s, '_', ' ')) || '\\b'))) / len(top) END::DOUBLE AS skills
+  FROM applications a JOIN jobs j USING (job_id) LEFT JOIN top8 t USING (candidate_id) WHERE a.job_id NOT IN (SELECT job_id FROM job_skills)),
+ss AS (SELECT candidate_id, job_id, sum(w * c) / sum(w) * (1 - 0.3::DOUBLE * avg(CASE WHEN inferred THEN 1.0 ELSE 0.0 END)) AS skills FROM sr GROUP BY ALL UNION ALL SELECT candidate_id, job_id, skills FROM kw)"""
 
 
 def skill_rows(spark, sf, pairs):
@@ -97,9 +100,19 @@ def applications(spark, sf):
     return lens(spark, sf, "applications")
 
 
+def sides(spark, sf):
+    """The skill lists of the jobs and the credit maps of the candidates."""
+    s = skills(spark, sf)
+    return mt.job_lists(jobs(spark, sf), job_skills(spark, sf), s, flag()), mt.credit_maps(profile_skills(spark, sf), s)
+
+
+def pair_scores(spark, sf):
+    return mt.pair_scores(applications(spark, sf), *sides(spark, sf))
+
+
 @query("m06_skill_component", f"WITH {CREDIT_SQL} SELECT candidate_id, job_id, round(skills, 6) AS skills FROM ss")
 def _(spark, sf):
-    return mt.skill_scores(skill_rows(spark, sf, applications(spark, sf))).select(*mt.PAIR, F.round("skills", 6).alias("skills"))
+    return pair_scores(spark, sf).select(*mt.PAIR, F.round("skills", 6).alias("skills"))
 
 
 @query("j17_credited_job_skills", f"WITH {CREDIT_SQL} SELECT candidate_id, job_id, skill_id, w, round(c, 2) AS c FROM sr")
@@ -110,15 +123,20 @@ def _(spark, sf):
 @query("m19_matched_and_missing", f"""
 WITH {CREDIT_SQL} SELECT candidate_id, job_id, coalesce(string_agg(skill_id, ',' ORDER BY skill_id IN {BROAD_SQL}, inferred, skill_id) FILTER (c > 0), '') AS matched, coalesce(string_agg(skill_id, ',' ORDER BY skill_id IN {BROAD_SQL}, inferred, skill_id) FILTER (c <= 0), '') AS missing FROM sr GROUP BY ALL""")
 def _(spark, sf):
-    rows = mt.skill_scores(skill_rows(spark, sf, applications(spark, sf)))
+    rows = pair_scores(spark, sf).where(~F.col("by_text"))
     return rows.select(*mt.PAIR, F.array_join("matched", ",").alias("matched"), F.array_join("missing", ",").alias("missing"))
 
 
-@query("m07_keyword_fallback")
+@query("m07_keyword_fallback", f"""
+WITH {LEVEL_SQL}, top8 AS (SELECT candidate_id, list(skill_id ORDER BY level DESC, skill_id)[1:8] AS top FROM profile_skills GROUP BY candidate_id)
+SELECT a.candidate_id, a.job_id, CASE WHEN top IS NULL THEN 0.0 ELSE round(len(list_filter(top, lambda s: regexp_matches(lower(concat(coalesce(j.title, ''), chr(10), coalesce(j.description, ''))), '\\b' || regexp_escape(replace(s, '_', ' ')) || '\\b'))) / len(top), 6) END::DOUBLE AS skills
+FROM applications a JOIN jobs j USING (job_id) LEFT JOIN top8 t USING (candidate_id)""")
 def _(spark, sf):
-    bare = applications(spark, sf).join(lens(spark, sf, "job_own_skills").select("job_id").distinct(), "job_id", "left_anti")
-    wide = lens(spark, sf, "jobs").withColumn("description", F.concat_ws(" ", "description", F.lit("python or machine learning")))
-    return mt.keyword_scores(applications(spark, sf).unionByName(bare).distinct(), wide, profile_skills(spark, sf))
+    # As if no job had extracted skills, so that every application is scored by the texts.
+    bare = lens(spark, sf, "job_own_skills").withColumn("inferred", F.lit(False)).where("false")
+    s = skills(spark, sf)
+    scored = mt.pair_scores(applications(spark, sf), mt.job_lists(jobs(spark, sf), bare, s, flag()), mt.credit_maps(profile_skills(spark, sf), s))
+    return scored.select(*mt.PAIR, F.round("skills", 6).alias("skills"))
 
 
 DEGREE_SQL = r"CASE WHEN regexp_matches(lower({0}), '\bph\.?\s?d\b|\bdoctorate\b') THEN 3 WHEN regexp_matches(lower({0}), '\bmaster''?s?\b|\bm\.?\s?tech\b|\bm\.?\s?e\b|\bm\.?\s?sc\b|\bmca\b|\bmba\b|\bpost.?graduate\b') THEN 2 WHEN regexp_matches(lower({0}), '\bbachelor''?s?\b|\bb\.?\s?tech\b|\bb\.?\s?e\b|\bb\.?\s?sc\b|\bbca\b|\bgraduate\b|\bdegree\b') THEN 1 ELSE 0 END"
@@ -141,8 +159,7 @@ ov AS (SELECT *, round(skills * 0.4::DOUBLE + experience * 0.2::DOUBLE + educati
 
 
 def matches(spark, sf):
-    scored = mt.skill_scores(skill_rows(spark, sf, applications(spark, sf)))
-    return mt.match_pairs(scored, jobs(spark, sf), candidates(spark, sf).drop("role"), work_modes=["remote", "hybrid"], employment_types=["full_time"], min_lpa=10.0)
+    return mt.match_pairs(pair_scores(spark, sf), jobs(spark, sf), candidates(spark, sf).drop("role"), work_modes=["remote", "hybrid"], employment_types=["full_time"], min_lpa=10.0)
 
 
 def _component(name: str, column: str, output: str):
@@ -220,6 +237,20 @@ def _(spark, sf):
     return ask.join(offer, ["role", "city"]).select("role", "city", (F.col("a") * F.col("b")).alias("pairs"))
 
 
+MARKET_PAIRS_SQL = f"""
+market_pairs AS (SELECT c.candidate_id, j.job_id FROM (SELECT candidate_id, target_role AS role, {city_sql('location')} AS city FROM candidates) c JOIN (SELECT job_id, role, {city_sql('location_raw')} AS city FROM jobs) j USING (role, city))"""
+
+
+@query("j16_top_market_jobs", f"""
+WITH {MARKET_PAIRS_SQL}, {RANK_SQL.replace("FROM applications a", "FROM market_pairs a")} SELECT candidate_id, CAST(position AS INT) AS position, job_id, rank_score FROM placed WHERE position <= 10""")
+def _(spark, sf):
+    lists, credits = sides(spark, sf)
+    people = candidates(spark, sf)
+    best = bm.best_market_jobs(people, jobs(spark, sf), lists, people.drop("role", "city"), credits, median=F.lit(MEDIAN), now=now(), k=10,
+                               work_modes=["remote", "hybrid"], employment_types=["full_time"], min_lpa=10.0)
+    return best.select("candidate_id", "position", "job_id", "rank_score")
+
+
 @query("j19_same_region", f"""
 SELECT job_id FROM (SELECT job_id, {city_sql('location_raw')} AS city FROM jobs) WHERE city IN ('Delhi', 'Noida', 'Gurugram')""")
 def _(spark, sf):
