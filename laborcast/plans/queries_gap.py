@@ -126,24 +126,42 @@ def items(spark, sf):
     return roadmap.roadmap_items(gaps(spark, sf), profile_skills(spark, sf), s, tax.ancestors(s))
 
 
-@query("g08_prerequisite_items", f"""
-WITH RECURSIVE {GAPS_SQL}, roots AS (SELECT g.candidate_id, g.skill_id, g.importance, CASE WHEN status <> 'matched' THEN status ELSE 'weak' END AS kind FROM gaps g LEFT JOIN skills s ON s.id = g.skill_id
+ITEMS_SQL = f"""{GAPS_SQL}, roots AS (SELECT g.candidate_id, g.target_role, g.skill_id, g.importance, g.position, CASE WHEN status <> 'matched' THEN status ELSE 'weak' END AS kind FROM gaps g LEFT JOIN skills s ON s.id = g.skill_id
   WHERE NOT coalesce(s.is_category, false) AND (status <> 'matched' OR required_level > current_level)),
 known AS (SELECT candidate_id, skill_id FROM profile_skills UNION SELECT p.candidate_id, c.ancestor FROM profile_skills p JOIN closure c ON c.id = p.skill_id),
 barred AS (SELECT candidate_id, skill_id FROM known UNION SELECT candidate_id, skill_id FROM roots UNION SELECT c.candidate_id, s.id FROM candidates c, skills s WHERE s.is_category),
 pull AS (SELECT r.candidate_id, p.prerequisite AS skill_id, r.importance FROM roots r JOIN prerequisites p ON p.id = r.skill_id WHERE r.kind <> 'weak' AND NOT EXISTS (SELECT 1 FROM barred b WHERE b.candidate_id = r.candidate_id AND b.skill_id = p.prerequisite)
-  UNION SELECT q.candidate_id, p.prerequisite, q.importance FROM pull q JOIN prerequisites p ON p.id = q.skill_id WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.candidate_id = q.candidate_id AND b.skill_id = p.prerequisite))
+  UNION SELECT q.candidate_id, p.prerequisite, q.importance FROM pull q JOIN prerequisites p ON p.id = q.skill_id WHERE NOT EXISTS (SELECT 1 FROM barred b WHERE b.candidate_id = q.candidate_id AND b.skill_id = p.prerequisite))"""
+
+
+@query("g08_prerequisite_items", f"""
+WITH RECURSIVE {ITEMS_SQL}
 SELECT candidate_id, skill_id, kind, round(importance, 4) AS importance FROM roots UNION ALL SELECT candidate_id, skill_id, 'prerequisite', round(max(importance), 4) FROM pull GROUP BY candidate_id, skill_id""")
 def _(spark, sf):
     return items(spark, sf).select("candidate_id", "skill_id", "kind", F.round("importance", 4).alias("importance"))
 
 
-@query("g09_roadmap_order")
+ORDER_SQL = f"""{ITEMS_SQL},
+todo AS (SELECT candidate_id, target_role, skill_id, kind, importance, position FROM roots UNION ALL SELECT p.candidate_id, c.target_role, p.skill_id, 'prerequisite', max(p.importance), 1000000 FROM pull p JOIN candidates c USING (candidate_id) GROUP BY p.candidate_id, c.target_role, p.skill_id),
+needs AS (SELECT t.candidate_id, t.skill_id, list(p.prerequisite) AS deps FROM todo t JOIN prerequisites p ON p.id = t.skill_id JOIN todo u ON u.candidate_id = t.candidate_id AND u.skill_id = p.prerequisite GROUP BY ALL),
+lists AS (SELECT t.candidate_id, t.target_role, list({{'s': t.skill_id, 'd': coalesce(n.deps, [])}} ORDER BY -t.importance, t.position, t.skill_id) AS todo FROM todo t LEFT JOIN needs n USING (candidate_id, skill_id) GROUP BY ALL),
+walk AS (SELECT candidate_id, target_role, todo, []::VARCHAR[] AS done FROM lists UNION ALL
+  SELECT candidate_id, target_role, todo, list_append(done, next) FROM (SELECT *, list_filter(todo, lambda x: NOT list_contains(done, x.s) AND len(list_filter(x.d, lambda d: NOT list_contains(done, d))) = 0)[1].s AS next FROM walk) t WHERE next IS NOT NULL),
+ends AS (SELECT candidate_id, target_role, arg_max(done, len(done)) AS done FROM walk GROUP BY ALL),
+ordered AS (SELECT candidate_id, target_role, unnest(done) AS skill_id, CAST(generate_subscripts(done, 1) AS INT) AS place FROM ends),
+roadmap AS (SELECT o.candidate_id, o.target_role, o.place, o.skill_id, t.kind FROM ordered o JOIN todo t USING (candidate_id, target_role, skill_id))"""
+
+
+@query("g09_roadmap_order", f'WITH RECURSIVE {ORDER_SQL} SELECT candidate_id, target_role, place AS "order", skill_id, kind FROM roadmap')
 def _(spark, sf):
     return roadmap.ordered_roadmap(items(spark, sf), skills(spark, sf)).select("candidate_id", "target_role", "order", "skill_id", "kind")
 
 
-@query("g10_roadmap_hours")
+@query("g10_roadmap_hours", f"""
+WITH RECURSIVE {ORDER_SQL}, h AS (SELECT r.*, CASE coalesce(s.difficulty_tier, 2) WHEN 1 THEN 10 WHEN 2 THEN 30 ELSE 60 END * CASE WHEN r.kind IN ('adjacent', 'weak') THEN 0.5 ELSE 1 END AS lo,
+  CASE coalesce(s.difficulty_tier, 2) WHEN 1 THEN 25 WHEN 2 THEN 60 ELSE 120 END * CASE WHEN r.kind IN ('adjacent', 'weak') THEN 0.5 ELSE 1 END AS hi FROM roadmap r LEFT JOIN skills s ON s.id = r.skill_id),
+i AS (SELECT *, CAST(round_even(lo::DOUBLE, 0) AS INT) AS hours_low, CAST(round_even(hi::DOUBLE, 0) AS INT) AS hours_high FROM h)
+SELECT candidate_id, target_role, place AS "order", skill_id, hours_low, hours_high, CAST(ceil(sum(hours_low) OVER w / 8.0) AS INT) AS weeks_low, CAST(ceil(sum(hours_high) OVER w / 8.0) AS INT) AS weeks_high FROM i WINDOW w AS (PARTITION BY candidate_id, target_role ORDER BY place)""")
 def _(spark, sf):
     rows = roadmap.ordered_roadmap(items(spark, sf), skills(spark, sf), hours_per_week=8.0)
     return rows.select("candidate_id", "target_role", "order", "skill_id", "hours_low", "hours_high", "weeks_low", "weeks_high")

@@ -260,3 +260,24 @@ def test_a_donor_needs_skills(spark):
     options = {"source_order": ["board", "full"], "donor_source": "full"}
     assert postings.merge_duplicates(jobs, **options).first().skills_from == 2
     assert postings.merge_duplicates(jobs, has_skills=F.size("skills") > 0, **options).first().skills_from == 3
+
+
+def test_learning_order_against_repeated_choice(spark):
+    rng = random.Random(9)
+    requests = []
+    for c in range(120):
+        ids = rng.sample([f"s{i}" for i in range(30)], rng.randint(1, 14))
+        for s in ids:
+            requests.append((c, "r", s, "missing", rng.choice([0.2, 0.5, 0.9, None]), rng.randint(0, 3), []))
+    needs = {f"s{i}": [f"s{j}" for j in rng.sample(range(30), rng.randint(0, 4)) if j < i or rng.random() < .03] for i in range(30)}
+    skills = spark.createDataFrame([(s, d, 1) for s, d in needs.items()], "id string, prerequisites array<string>, difficulty_tier int")
+    items = spark.createDataFrame(requests, "candidate_id int, target_role string, skill_id string, kind string, importance double, position int, required_for array<string>")
+    got: dict[int, list] = {}
+    for r in roadmap.ordered_roadmap(items, skills).orderBy("candidate_id", "order").collect():
+        got.setdefault(r.candidate_id, []).append(r.skill_id)
+    for c in range(120):
+        left = {r[2]: r for r in requests if r[0] == c}
+        done = []
+        while ready := [r for s, r in left.items() if s not in done and all(d in done for d in needs[s] if d in left)]:
+            done.append(min(ready, key=lambda r: (r[4] is not None, -(r[4] or 0), r[5], r[2]))[2])
+        assert got.get(c, []) == done
