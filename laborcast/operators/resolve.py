@@ -164,57 +164,10 @@ def search_titles(queries: DataFrame, occupations: DataFrame, aliases: DataFrame
     parts = [hits.select("query", "soc_code", "title", "matched_term", F.length("matched_term").alias("_size"), F.inline(both))
              .select("query", "soc_code", "title", "stage", "method", "confidence", "matched_term", "_size")]
     words = q.select("query", query_tokens(F.col("query")).alias("tokens"))
-    all_words = any_token_join(words, "query", "tokens", occ, "_t").join(words, "query") \
-        .where(F.col("hits") == F.size(F.array_distinct("tokens"))).select("query", "_t", F.lit(3).alias("stage"))
-    hits = near.unionByName(all_words).join(occ, "_t")
-    return keep_one(hits, ["query"], [F.asc("stage"), F.asc(F.length("title")), F.asc("title")]).select("query", "soc_code", "title", "stage")
-
-
-# The confidence of each search stage.
-SEARCH_STAGES = {"alias_exact": 1.0, "title_exact": 1.0, "alternate_exact": 0.95, "alias_partial": 0.90,
-                 "title_partial": 0.88, "alternate_partial": 0.82, "token_match": 0.70}
-
-
-def _stage_rows(df: DataFrame, stage: int, method: str, confidence: Column, size: Column) -> DataFrame:
-    return df.select("query", "soc_code", "title", F.lit(stage).alias("stage"), F.lit(method).alias("method"),
-                     F.round(confidence, 2).alias("confidence"), F.col("matched_term"), size.alias("_size"))
-
-
-def search_titles(queries: DataFrame, occupations: DataFrame, aliases: DataFrame, alternates: DataFrame, *, k: int = 5) -> DataFrame:
-    """Top ``k`` occupations per free-text query over seven stages.
-
-    Exact stages upgrade a lower confidence. Each partial stage offers its ``k`` shortest terms and only adds
-    occupations while fewer than ``k`` were found before it. ``aliases``: raw_title, soc_code, confidence;
-    ``alternates``: title, soc_code.
-    """
-    q = queries.select("query").distinct().withColumn("_q", F.lower(F.trim("query"))).where("_q <> ''")
-    occ = occupations.select("soc_code", "title")
-    named = {
-        "alias": aliases.select("soc_code", F.col("raw_title").alias("matched_term"), "confidence").join(occ, "soc_code"),
-        "title": occ.withColumn("matched_term", F.col("title")).withColumn("confidence", F.lit(1.0)),
-        "alternate": alternates.select("soc_code", F.col("title").alias("matched_term")).join(occ, "soc_code").withColumn("confidence", F.lit(1.0)),
-    }
-    terms = [df.select(F.lit(name).alias("kind"), "soc_code", "title", "matched_term", "confidence", F.lower("matched_term").alias("_t"))
-             for name, df in named.items()]
-    terms = terms[0].unionByName(terms[1]).unionByName(terms[2])
-    hits = q.join(contains_join(q, "_q", terms, "_t"), "_q").join(terms, "_t")
-    kind, exact = F.col("kind"), F.col("_t") == F.col("_q")
-    order = {"alias": (1, 4), "title": (2, 5), "alternate": (3, 6)}
-    score = {"alias": (F.col("confidence"), F.col("confidence") * SEARCH_STAGES["alias_partial"]),
-             "title": (F.lit(1.0), F.lit(SEARCH_STAGES["title_partial"])),
-             "alternate": (F.lit(SEARCH_STAGES["alternate_exact"]), F.lit(SEARCH_STAGES["alternate_partial"]))}
-    parts = []
-    for name in order:
-        mine = hits.where(kind == name)
-        parts.append(_stage_rows(mine.where(exact), order[name][0], f"{name}_exact", score[name][0], F.length("matched_term")))
-        parts.append(_stage_rows(mine, order[name][1], f"{name}_partial", score[name][1], F.length("matched_term")))
-    words = q.select("query", query_tokens(F.col("query")).alias("tokens"))
     lowered = occ.withColumn("_t", F.lower("title"))
     by_word = any_token_join(words, "query", "tokens", lowered, "_t").join(lowered, "_t").withColumn("matched_term", F.col("title"))
     parts.append(_stage_rows(by_word, 7, "token_match", F.lit(SEARCH_STAGES["token_match"]), F.length("matched_term")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = parts[0].unionByName(parts[1])
     # Exact alias and title hits are all offered; every later stage offers the k shortest of its terms.
     size = W.partitionBy("query", "stage").orderBy(F.asc("_size"), F.asc("matched_term"), F.asc("soc_code"))
     offered = rows.withColumn("_pos", F.row_number().over(size)).where((F.col("stage") <= 2) | (F.col("_pos") <= k)).drop("_pos")

@@ -1,11 +1,14 @@
 """Sources, exports, quality checks and the batch form of the stream operators."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import posting_text
 from ..operators import quality as dq, requirements as req, taxonomy as tax
-from ..sources import files, payloads, sinks
+from ..session import shared_folder
+from ..sources import files, payloads, sinks, stores
 from ..streaming import postings as stream
 from .catalog import query
 from .lenses import lens
@@ -171,14 +174,22 @@ def _(spark, sf):
     return rows.join(F.broadcast(major_groups(spark)), "soc_major_group").groupBy("soc_major_group").agg(F.count(F.lit(1)).alias("postings"))
 
 
-@query("s22_keyed_merge", "SELECT custkey, min(posting_id) AS ignored, max(posting_id) AS replaced FROM postings GROUP BY custkey")
+def new_store(spark, by, buckets=16):
+    return stores.BucketStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", by, buckets=buckets)
+
+
+@query("s22_keyed_merge", """
+SELECT custkey, coalesce(min(posting_id) FILTER (posting_id % 2 = 0), min(posting_id)) AS ignored, coalesce(max(posting_id) FILTER (posting_id % 2 = 1), max(posting_id)) AS replaced FROM postings GROUP BY custkey""")
 def _(spark, sf):
+    # One half is stored, the other is merged into it, and that batch comes twice.
     rows = lens(spark, sf, "postings").select("custkey", "posting_id")
-    old, new = rows.where("posting_id % 2 = 0"), rows.where("posting_id % 2 = 1")
-    # The stored rows count as older, so both halves go in as one batch here and the order decides.
-    first = sinks.merge_keyed(None, old.unionByName(new), keys=["custkey"], order="posting_id", keep="first").withColumnRenamed("posting_id", "ignored")
-    last = sinks.merge_keyed(None, old.unionByName(new), keys=["custkey"], order="posting_id", keep="last").withColumnRenamed("posting_id", "replaced")
-    return first.join(last, "custkey")
+    kept = {}
+    for keep in ("first", "last"):
+        store = new_store(spark, ["custkey"])
+        for number in (0, 1, 1):
+            stores.merge_rows(store, rows.where(F.col("posting_id") % 2 == number), order="posting_id", keep=keep, batch_id=str(number))
+        kept[keep] = store.read()
+    return kept["first"].withColumnRenamed("posting_id", "ignored").join(kept["last"].withColumnRenamed("posting_id", "replaced"), "custkey")
 
 
 @query("s23_occupation_documents")
@@ -192,21 +203,24 @@ def _(spark, sf):
     return sinks.latest_build(sinks.table_counts({"orders": lens(spark, sf, "SELECT o_orderkey FROM orders"), "parts": lens(spark, sf, "SELECT p_partkey FROM part")}, version="2.2.0"))
 
 
-@query("m03_snapshot_partitions", "SELECT role, count(*) AS rows FROM snapshots WHERE fetched_at = TIMESTAMP '2002-01-01 08:00:00' GROUP BY role")
+@query("m03_snapshot_partitions", """
+SELECT role, location_raw, count(*) AS rows FROM (SELECT *, max(fetched_at) OVER (PARTITION BY role, location_raw) AS newest FROM snapshots) WHERE fetched_at = newest GROUP BY ALL""")
 def _(spark, sf):
-    from ..operators.postings import current_snapshots
-
-    rows = current_snapshots(lens(spark, sf, "snapshots"), ["role"], F.lit("2002-01-01 12:00:00").cast("timestamp"))
-    return rows.groupBy("role").agg(F.count(F.lit(1)).alias("rows"))
+    # Both fetches of every market go through the sink; the older one comes last and must not replace the newer.
+    rows = lens(spark, sf, "SELECT job_id, role, location_raw, source, fetched_at FROM snapshots")
+    store = new_store(spark, ["role", "location_raw"])
+    for source in ("fulltext", "listings"):
+        stores.replace_snapshots(store, rows.where(F.col("source") == source), batch_id=source)
+    return store.read().groupBy("role", "location_raw").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # --- the stream operators over the same rows at once -----------------------------------------------
 
-def event_postings(spark, sf):
+def event_postings(spark, sf, times=None):
     e = lens(spark, sf, "events")
     return e.select(F.col("event_type").alias("role"), F.concat_ws(" ", "event_type", F.lit("specialist")).alias("title"), F.concat(F.lit("Company "), "user_id").alias("company"),
                     F.concat(F.lit("City "), F.get_json_object("props", "$.k")).alias("location"), F.lit("2+ years, remote").alias("description"), (F.col("value") * 100000).alias("salary"),
-                    F.col("ts").cast("timestamp").alias("posted_at"))
+                    *(times or [F.col("ts").cast("timestamp").alias("posted_at")]))
 
 
 @query("r01_normalized_stream", """
@@ -224,6 +238,16 @@ def _(spark, sf):
     return kept.agg(F.count("duplicate_key").alias("postings"))
 
 
+@query("r04_dated_and_undated_copies", """
+SELECT dated, count(*) AS postings FROM (SELECT DISTINCT event_id % 4 <> 0 AS dated, event_type, user_id, props FROM events) GROUP BY dated""")
+def _(spark, sf):
+    # Every fourth event has no date, only the time at which it was fetched.
+    time = F.col("ts").cast("timestamp")
+    posts = event_postings(spark, sf, [F.when(F.col("event_id") % 4 != 0, time).alias("posted_at"), time.alias("fetched_at")])
+    kept = stream.all_first_copies(stream.normalized(posts))
+    return kept.groupBy(F.col("posted_at").isNotNull().alias("dated")).agg(F.count(F.lit(1)).alias("postings"))
+
+
 @query("r03_posting_velocity", "SELECT event_type AS role, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS postings FROM events GROUP BY ALL")
 def _(spark, sf):
     out = stream.velocity(event_postings(spark, sf), size="1 day")

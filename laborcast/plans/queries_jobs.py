@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import places, posting_text
-from ..operators import best_matches as bm, facts, matching as mt, postings as po, ranks, salary as sal, taxonomy as tax
+from ..functions import places
+from ..operators import best_matches as bm, enrichment as en, facts, matching as mt, postings as po, ranks, salary as sal, taxonomy as tax
 from .catalog import decimal_round, query
-from .lenses import lens
+from .lenses import WORD_ALIASES, lens
 from .queries_facts import BANDS_SQL, role_bands
 from .queries_scalars import DUPLICATE_KEY_SQL, EXPAND_SQL, band_sql, city_sql
-from .queries_text import LEVEL_SQL, profile_skills, skills
+from .queries_text import LEVEL_SQL, aliases, profile_skills, skills
 from ..functions.titles import POSTING_TITLE_BANDS
 
 NOW = "2002-01-01 12:00:00"
@@ -339,10 +339,20 @@ def _(spark, sf):
     return po.market_age(rows, ["role"], now()).select("role", "total_available", "age_hours")
 
 
-@query("m21_missing_enrichment", "SELECT doc_id, 'extracted' AS skills_source FROM documents")
+LAST_ALIAS = WORD_ALIASES[-1][1]
+_WORD_CLASS = r"\p{L}\p{M}\p{N}\p{Pc}+#&"
+
+
+@query("m21_missing_enrichment", rf"""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 7 = 0 THEN 'text'
+  WHEN regexp_matches(lower(text), '(^|[^{_WORD_CLASS}.])' || replace('{LAST_ALIAS}', ' ', '[\s\-_]{{0,2}}') || '([^{_WORD_CLASS}]|$)') THEN 'alias' END AS reason FROM documents""")
 def _(spark, sf):
-    rows = lens(spark, sf, "SELECT doc_id, text FROM documents").withColumn("skills_source", F.when(F.col("doc_id") % 2 == 0, "extracted"))
-    return po.enrich_missing(rows, lambda df: df.withColumn("fingerprint", posting_text.fingerprint(F.col("text")))).select("doc_id", "skills_source")
+    # The stored run lacks one alias and every fifth document, and of every seventh it saw another text.
+    docs, s, known = lens(spark, sf, "SELECT doc_id, text FROM documents"), skills(spark, sf), aliases(spark, sf)
+    older = known.where(F.col("alias") != LAST_ALIAS)
+    before = docs.where(F.col("doc_id") % 5 != 0).withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat_ws(" ", "text", F.lit("and Python"))).otherwise(F.col("text")))
+    stored = en.extracted(before, "doc_id", "text", s, older)
+    return en.refreshed(docs, stored, "doc_id", "text", s, known, older).select("doc_id", "reason")
 
 
 # --- salary ---------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from laborcast.sources import files, payloads, sinks
+from laborcast.sources import files, payloads, sinks, stores
 from laborcast.streaming import postings as stream
 
 SF = "/root/testdata/sf0.001"
@@ -88,10 +88,36 @@ def test_a_late_batch_keeps_newer_markets(spark, tmp_path):
         batch(rows).write.mode("append").json(str(source))
         feed = spark.readStream.schema("role string, city string, fetched_at timestamp, n int").json(str(source))
         stream.keep_latest_markets(feed, path, str(tmp_path / "checkpoint"), by).start().awaitTermination()
-    assert sorted((r.role, r.city, r.n) for r in spark.read.parquet(path).collect()) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 4)]
+    assert sorted((r.role, r.city, r.n) for r in stores.BucketStore(spark, path, by).read().collect()) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 4)]
 
 
 def test_undated_postings_have_a_path(spark):
     rows = spark.createDataFrame([("k", None), ("k", "2024-01-01 00:00:00"), ("k", "2024-01-03 00:00:00")], "duplicate_key string, posted_at string").withColumn("posted_at", F.col("posted_at").cast("timestamp"))
     assert stream.undated(rows).count() == 1
     assert [str(r.posted_at) for r in stream.first_copies(rows).collect()] == ["2024-01-01 00:00:00"]
+
+
+def test_dated_and_undated_postings_in_one_stream(spark, tmp_path):
+    schema = "title string, company string, location string, description string, salary double, posted_at timestamp, fetched_at timestamp"
+    source, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    rounds = [
+        [("Dev", "A", "2024-03-01", "2024-03-02"), ("Dev", "A", None, "2024-03-02"), ("Chef", "B", None, "2024-03-02"), ("Nurse", "C", "2024-03-01", "2024-03-02")],
+        [("dev", "A Ltd", None, "2024-03-03"), ("Dev", "A", "2024-03-02", "2024-03-03"), ("Cook", "B", None, "2024-03-03")],
+        [("Temp", "T", None, "2024-06-20"), ("Temp", "T", "2024-06-20", "2024-06-20")],
+        [("Dev", "A", None, "2024-06-25"), ("Dev", "A", "2024-06-24", "2024-06-25"), ("Nurse", "C", "2024-06-25", "2024-06-25"), ("Temp", "T", "2024-06-25", "2024-06-25")],
+    ]
+    for rows in rounds:  # each round goes on from the checkpoint of the one before
+        spark.createDataFrame([(t, c, "Pune", "x", 1.0, p, f) for t, c, p, f in rows], schema.replace("timestamp", "string")).coalesce(1).write.mode("append").json(str(source))
+        feed = stream.normalized(stream.read_postings(spark, str(source), schema))
+        stream.all_first_copies(feed).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination(180)
+    got = sorted((r.title.lower(), str(r.posted_at)[:10], str(r.fetched_at)[:10]) for r in spark.read.parquet(out).collect())
+    # Copies inside 45 days are dropped by kind; once the watermark is past them their state is gone and a copy counts anew.
+    first = [("dev", "2024-03-01", "2024-03-02"), ("dev", "None", "2024-03-02"), ("chef", "None", "2024-03-02"), ("nurse", "2024-03-01", "2024-03-02"), ("cook", "None", "2024-03-03")]
+    later = [("temp", "None", "2024-06-20"), ("temp", "2024-06-20", "2024-06-20"), ("dev", "None", "2024-06-25"), ("dev", "2024-06-24", "2024-06-25"), ("nurse", "2024-06-25", "2024-06-25")]
+    assert got == sorted(first + later)
+
+
+def test_both_kinds_as_a_batch(spark):
+    rows = spark.createDataFrame([("k", None, "2024-02-01"), ("k", None, "2024-01-01"), ("k", "2024-01-05", "2024-02-01"), ("k", "2024-01-03", "2024-02-02"), ("l", None, "2024-01-09")], "duplicate_key string, posted_at string, fetched_at string")
+    got = {(r.duplicate_key, r.posted_at, str(r.event_time)[:10]) for r in stream.all_first_copies(rows).collect()}
+    assert got == {("k", None, "2024-01-01"), ("k", "2024-01-03", "2024-01-03"), ("l", None, "2024-01-09")}
