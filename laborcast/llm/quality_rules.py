@@ -1,7 +1,7 @@
 """Quality rules whose thresholds come from the data.
 
-Every document is measured once. For each language and source, quantile sketches of the measures give the quartiles, and
-a document is out if a measure lies far beyond those of its own kind. A sketch is a table of counts per value bucket: a
+Every document is measured once. For each language and source, quantile sketches of the measures give the middle and both
+tails, and a document is out if a measure lies far beyond those of its own kind. A sketch is a table of counts per value bucket: a
 measure is a whole number, and a bucket keeps its first three digits, so a quantile is off by less than one in a hundred.
 Counts add up, so sketches of parts merge exactly, in any order, and the result is the same in every run.
 """
@@ -20,17 +20,19 @@ from .textstats import line_counts, repeated_words
 
 SYMBOLS = "#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaim"]
-#: Measures in thousandths: (name, counted, out of, least spread, low side too).
+#: Measures in thousandths: (name, counted, out of, spare, low side too). A document may be ``spare`` counted ones beyond a
+#: fence, as short texts scatter by whole characters, words and lines; in longer texts that is next to nothing.
 MEASURES = [
-    ("word_length", "word_chars", "n_words", 1500, True),
-    ("symbol_rate", "n_symbols", "n_words", 60, False),
-    ("repeated_line_rate", "n_dup_lines", "n_lines", 100, False),
-    ("repeated_word_rate", "n_repeat_words", "n_words", 60, False),
-    ("upper_rate", "n_upper", "word_chars", 80, False),
-    ("exclaim_rate", "n_exclaim", "n_words", 60, False),
+    ("word_length", "word_chars", "n_words", 30, True),
+    ("symbol_rate", "n_symbols", "n_words", 3, False),
+    ("repeated_line_rate", "n_dup_lines", "n_lines", 2, False),
+    ("repeated_word_rate", "n_repeat_words", "n_words", 20, False),
+    ("upper_rate", "n_upper", "word_chars", 10, False),
+    ("exclaim_rate", "n_exclaim", "n_words", 3, False),
 ]
-#: A fence lies this many spreads beyond a quartile; the spread is the distance of the quartiles, but at least that of MEASURES.
-FENCE = 3
+#: A fence lies this many spreads from the middle. The spread is the distance of the middle from the farther of the two
+#: quantiles TAILS, in percent, and a thousandth at least, the resolution of a sketch.
+FENCE, TAILS = 5, (15, 85)
 #: A language and source with fewer documents uses its language's sketches; a language with fewer, those of all.
 ENOUGH = 100
 MIN_WORDS, MAX_REPEATED = 10, 20
@@ -86,46 +88,52 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, n_docs, fences): a struct of low and high for each measure, from the sketches' quartiles.
+    """(level, lang, source, n_docs, fences): a struct of low and high for each measure, from quantiles of the sketches.
 
-    A quartile is the bucket of the value at rank ceil(n q). A sketch has few buckets whatever it has counted, so its
+    A quantile is the bucket of the value at rank ceil(n q). A sketch has few buckets whatever it has counted, so its
     window is small.
     """
     group = ["level", "lang", "source", "measure"]
     within = Window.partitionBy(*group)
     ranked = sketch.withColumn("upto", F.sum("n").over(within.orderBy("bucket"))).withColumn("total", F.sum("n").over(within))
-    at = lambda quarter: F.min(F.when(4 * F.col("upto") >= quarter * F.col("total"), F.col("bucket")))
-    quartiles = ranked.groupBy(*group).agg(F.max("total").alias("n_docs"), at(1).alias("q1"), at(3).alias("q3"))
-    least = F.create_map(*[x for name, _, _, spread, _ in MEASURES for x in (F.lit(name), F.lit(spread))])
-    spread = F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    fence = quartiles.select("level", "lang", "source", "measure", "n_docs", (F.col("q1") - FENCE * spread).alias("low"), (F.col("q3") + FENCE * spread).alias("high"))
+    at = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), F.col("bucket")))
+    quantiles = ranked.groupBy(*group).agg(F.max("total").alias("n_docs"), at(TAILS[0]).alias("lo"), at(50).alias("mid"), at(TAILS[1]).alias("hi"))
+    spread = F.greatest(F.col("hi") - F.col("mid"), F.col("mid") - F.col("lo"), F.lit(1))
+    fence = quantiles.select(*group, "n_docs", (F.col("mid") - FENCE * spread).alias("low"), (F.col("mid") + FENCE * spread).alias("high"))
     one = [F.max(F.when(F.col("measure") == name, F.struct("low", "high"))).alias(name) for name, *_ in MEASURES]
     return fence.groupBy("level", "lang", "source").agg(F.max("n_docs").alias("n_docs"), F.struct(*one).alias("fences"))
 
 
+def inside(fence: Column) -> Column:
+    """Whether every measure lies within its fences, give or take what is spare."""
+    tests = []
+    for name, counted, out_of, spare, low in MEASURES:
+        tests.append(1000 * F.col(counted) <= fence[name]["high"] * F.col(out_of) + 1000 * spare)
+        if low:
+            tests.append(1000 * F.col(counted) >= fence[name]["low"] * F.col(out_of) - 1000 * spare)
+    return reduce(Column.__and__, tests)
+
+
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """``docs`` without the text, with the counts, ``base_failed`` and ``kept``; columns of these names are replaced.
+    """``docs`` without the text, with the counts, ``base_failed``, ``fence_level`` and ``kept``; columns of these names are replaced.
 
-    A document is kept unless a base rule fails or a measure lies beyond the fences of its language and source. A null
-    language or source is a kind of its own, the same as an empty one. A null or empty text has no words and fails.
-    Every row is judged, repeated ones too. The texts are read once: their counts are written to the checkpoint folder
-    and both the sketches and the filter read those. No rows give no rows.
+    A document is kept unless a base rule fails or a measure lies beyond the fences of its language and source.
+    ``fence_level`` says whose fences judged it: 2 its language and source, 1 its language, 0 all; null if nothing was
+    measured. A null language or source is a kind of its own, the same as an empty one. A null or empty text has no words
+    and fails. Every row is judged, repeated ones too. The texts are read once: their counts are written to the checkpoint
+    folder and both the sketches and the filter read those. No rows give no rows.
     """
-    plain = without(docs.withColumn("_text", F.col(text)).withColumn("_lang", F.coalesce(lang, F.lit(""))).withColumn("_source", F.coalesce(source, F.lit(""))), text, "base_failed", "kept")
-    measured = cut(with_counts(plain, "_text").drop("_text"))
-    bounds = fences(sketches(measured.select(*COUNTS, F.col("_lang").alias("lang"), F.col("_source").alias("source"))))
-    enough = bounds.where((F.col("n_docs") >= ENOUGH) | (F.col("level") == 0))
-    level = lambda i, *names: enough.where(F.col("level") == i).select(*[F.col(n).alias(f"_{n}") for n in names], F.col("fences").alias(f"_fences{i}"))
-    kinds = bounds.where("level = 2").select(F.col("lang").alias("_lang"), F.col("source").alias("_source"))
-    known = (kinds.join(level(2, "lang", "source"), ["_lang", "_source"], "left").join(level(1, "lang"), "_lang", "left")
-             .withColumn("_all", F.lit(0)).join(level(0).withColumn("_all", F.lit(0)), "_all", "left")
-             .select("_lang", "_source", F.coalesce("_fences2", "_fences1", "_fences0").alias("_fences")))
-    within = []
-    for name, a, b, _, low in MEASURES:
-        value, fence = rate(a, b), F.col("_fences")[name]
-        within.append(value <= fence["high"])
-        if low:
-            within.append(value >= fence["low"])
-    kept = ~base_failed() & reduce(Column.__and__, within)
-    joined = measured.join(known, ["_lang", "_source"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in measured.columns if c not in ("_lang", "_source")], base_failed().alias("base_failed"), F.coalesce(kept, F.lit(False)).alias("kept"))
+    carried = [c for c in docs.columns if c.lower() not in {n.lower() for n in (text, *COUNTS, "base_failed", "fence_level", "kept")}]
+    kind = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"))]
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"), F.col(f"`{text}`").alias("text"), *kind)  # the caller's columns stay apart
+    measured = cut(with_counts(wrapped).drop("text"))
+    bounds = fences(sketches(measured))
+    enough = bounds.where(F.col("n_docs") >= ENOUGH)
+    level = lambda i, *names: enough.where(F.col("level") == i).select(*names, F.col("fences").alias(f"fences{i}"))
+    everyone = bounds.where("level = 0").select("fences").scalar()
+    kinds = bounds.where("level = 2").select("lang", "source")
+    known = kinds.join(level(2, "lang", "source"), ["lang", "source"], "left").join(level(1, "lang"), "lang", "left").select(
+        "lang", "source", F.coalesce("fences2", "fences1", everyone).alias("fence"), F.when(F.col("fences2").isNotNull(), 2).when(F.col("fences1").isNotNull(), 1).otherwise(0).alias("fence_level"))
+    joined = measured.join(known, ["lang", "source"], "left")
+    kept = ~base_failed() & inside(F.col("fence"))
+    return joined.select(*[F.col(f"row.`{c}`") for c in carried], *COUNTS, base_failed().alias("base_failed"), "fence_level", F.coalesce(kept, F.lit(False)).alias("kept"))

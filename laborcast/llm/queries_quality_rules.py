@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .quality_rules import ENOUGH, FENCE, MEASURES, judge
+from .quality_rules import ENOUGH, FENCE, MEASURES, TAILS, judge
 from .registry import query, table
 
 _BASE = r"""
@@ -27,15 +27,15 @@ def _sql() -> str:
     """The same counts, sketches, fences and verdicts for DuckDB."""
     rates = {name: f"CASE WHEN {b} > 0 THEN (1000 * {a}) // {b} ELSE 0 END" for name, a, b, _, _ in MEASURES}
     values = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS measure, {value} AS v FROM counts WHERE n_words > 0" for name, value in rates.items())
-    least = "CASE measure " + " ".join(f"WHEN '{name}' THEN {spread}" for name, _, _, spread, _ in MEASURES) + " END"
-    inside = " AND ".join([f"({rates[name]}) <= max(CASE WHEN measure = '{name}' THEN high END)" + (f" AND ({rates[name]}) >= max(CASE WHEN measure = '{name}' THEN low END)" if low else "") for name, _, _, _, low in MEASURES])
+    at = lambda name, side: f"max(CASE WHEN measure = '{name}' THEN {side} END)"
+    inside = " AND ".join([f"1000 * {a} <= {at(name, 'high')} * {b} + {1000 * spare}" + (f" AND 1000 * {a} >= {at(name, 'low')} * {b} - {1000 * spare}" if low else "") for name, a, b, spare, low in MEASURES])
     return f"""WITH {_BASE},
 vals AS ({values}),
 finest AS (SELECT lang, source, measure, CASE WHEN v < 1000 THEN v ELSE v - v % CAST(10 ** (length(v::VARCHAR) - 3) AS BIGINT) END AS bucket, count(*) AS n FROM vals GROUP BY ALL),
 sketch AS (SELECT level, CASE WHEN level > 0 THEN lang ELSE '' END AS lang, CASE WHEN level > 1 THEN source ELSE '' END AS source, measure, bucket, sum(n) AS n FROM finest, range(3) t(level) GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sketch),
-quartiles AS (SELECT level, lang, source, measure, max(total) AS n_docs, min(CASE WHEN 4 * upto >= total THEN bucket END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS q3 FROM ranked GROUP BY ALL),
-fence AS (SELECT *, q1 - {FENCE} * greatest(q3 - q1, {least}) AS low, q3 + {FENCE} * greatest(q3 - q1, {least}) AS high FROM quartiles),
+quantiles AS (SELECT level, lang, source, measure, max(total) AS n_docs, min(CASE WHEN 100 * upto >= {TAILS[0]} * total THEN bucket END) AS lo, min(CASE WHEN 100 * upto >= 50 * total THEN bucket END) AS mid, min(CASE WHEN 100 * upto >= {TAILS[1]} * total THEN bucket END) AS hi FROM ranked GROUP BY ALL),
+fence AS (SELECT *, mid - {FENCE} * greatest(hi - mid, mid - lo, 1) AS low, mid + {FENCE} * greatest(hi - mid, mid - lo, 1) AS high FROM quantiles),
 chosen AS (SELECT k.lang, k.source, k.measure, coalesce(a.low, b.low, c.low) AS low, coalesce(a.high, b.high, c.high) AS high
   FROM (SELECT lang, source, measure FROM fence WHERE level = 2) k
   LEFT JOIN fence a ON a.level = 2 AND a.lang = k.lang AND a.source = k.source AND a.measure = k.measure AND a.n_docs >= {ENOUGH}

@@ -1,7 +1,6 @@
 """Helpers that several operators use."""
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 #: Words are runs of characters other than space and the ASCII controls 9 to 13.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -25,11 +26,8 @@ def crc_fold(key: str, folds: int) -> Column:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, the folder that all executors share; one of its own only where the session has none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return context.getCheckpointDir()
+    """``spark.checkpoint.dir``, the folder that all executors share; see :func:`laborcast.session.shared_folder` where it is unset."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

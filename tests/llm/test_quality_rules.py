@@ -1,10 +1,12 @@
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from laborcast.llm.quality_rules import COUNTS, judge, measure
+from laborcast.llm.quality_rules import COUNTS, fences, judge, measure, sketches, with_counts
 from laborcast.llm.queries_quality_rules import op10_quality_rules
 from laborcast.llm.registry import ORACLES
 from laborcast.llm.textstats import repeated_words
@@ -31,7 +33,7 @@ def test_query_matches_sql_and_keeps_clean_documents(spark):
     good = [fixed[k] for k, q in quality.items() if q == 1 and k not in failed]
     bad = [fixed[k] for k, q in quality.items() if q == 0]
     print("good kept", sum(good) / len(good), "bad kept", sum(bad) / len(bad))
-    assert sum(good) / len(good) > .97 and sum(bad) / len(bad) < .3
+    assert sum(good) / len(good) > .99 and sum(bad) / len(bad) < .1
 
 
 @pytest.mark.parametrize("text", ["", "a", "a b c d e", "a b c d e a b c d e", "x x x x x x x", "a b c d e f a b c d e", " ".join("abcab" * 9)])
@@ -58,3 +60,34 @@ def test_edge_rows(spark):
     got = sorted(((r.doc_id or 0, r.n_words, r.base_failed, r.kept) for r in out.collect()))
     assert got == [(0, 400_000, True, False), (1, 0, True, False), (2, 0, True, False), (3, 11, False, True), (3, 11, False, True), (5, 11, False, True)]
     assert judge(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_planted_outliers_are_caught_by_learned_fences(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rng = random.Random(6)
+    prose = [r for r in docs.where("length(text) > 1500").collect() if not re.search(r"[#*$%&|<>]", r.text)][:120]
+    edits = {
+        "one_letter": lambda words: [w[0] for w in words], "run_together": lambda words: ["".join(words[i:i + 2]) for i in range(0, len(words), 2)],
+        "shouting": lambda words: [w.upper() if i % 5 == 0 else w for i, w in enumerate(words)], "symbols": lambda words: [w + " #" if i % 7 == 0 else w for i, w in enumerate(words)],
+        "exclaimed": lambda words: [w + "!" if i % 9 == 0 else w for i, w in enumerate(words)], "plain": lambda words: words,
+    }
+    planted = []
+    for i, r in enumerate(prose):
+        kind = list(edits)[i % len(edits)]
+        planted.append((1_000_000 + i, " ".join(edits[kind](rng.sample(r.text.split(), len(r.text.split())))), r.lang, r.source, kind))
+    rows = judge(docs.withColumn("kind", F.lit("")).unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, kind string"))).where("kind <> ''").collect()
+    rate = lambda kind: sum(r.kept for r in rows if r.kind == kind) / sum(r.kind == kind for r in rows)
+    assert len(rows) == len(planted) and rate("plain") >= 0.95
+    assert all(rate(k) <= 0.1 for k in edits if k != "plain"), {k: rate(k) for k in edits}
+
+
+def test_fences_follow_the_data_and_columns_stay(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" * max(1, int(rng.gauss(size, 1))) for _ in range(100)), lang, "s") for lang, size in (("short", 4), ("long", 14)) for i in range(150)]
+    rows += [(-1, "w " * 100, "short", "s"), (-2, ("w" * 14 + " ") * 100, "short", "s"), (-3, ("w" * 4 + " ") * 100, "long", "s"), (-4, ("w" * 14 + " ") * 100, "long", "rare")]
+    frame = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, lang string, source string, _lang string, row int")
+    out = {r.doc_id: r for r in judge(frame).where("doc_id < 0").collect()}
+    # Repeated words fail the base rule in some of these, so only the measures are looked at.
+    fence = {(r["lang"], r["source"], r["level"]): r["fences"]["word_length"] for r in fences(sketches(with_counts(frame))).collect()}
+    assert fence["short", "s", 2]["high"] < 14_000 and fence["long", "s", 2]["low"] > 4_000 and fence["short", "s", 2]["low"] > 1_000
+    assert {k: (r["_lang"], r["row"], r.fence_level) for k, r in out.items()} == {-1: ("a", 1, 2), -2: ("a", 1, 2), -3: ("a", 1, 2), -4: ("a", 1, 1)}
