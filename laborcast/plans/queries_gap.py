@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import titles
-from ..operators import gap, roadmap, taxonomy as tax
+from ..operators import gap, roadmap, taxonomy as tax, vectors as vec
 from .catalog import decimal_round, query
 from .lenses import lens
 from .queries_scalars import band_sql, initcap_sql, slug_sql
@@ -72,6 +72,30 @@ def _(spark, sf):
     return gaps(spark, sf).select("candidate_id", "target_role", "skill_id", "status", "via", "current_level", "gap")
 
 
+@query("g04_semantic_status")
+def _(spark, sf):
+    # Skills no rule matched are compared by name: what roles ask for with every skill of the taxonomy.
+    need, s, profile = required(spark, sf), skills(spark, sf), profile_skills(spark, sf)
+    named = lambda rows, key, name: vec.classes(rows.select(key, vec.gram_vector(F.col(name)).alias("v")).dropDuplicates([key]), key, "v")
+    asked, had = named(need, "skill_id", "display"), named(s, "id", "display")
+    alike = vec.similar_classes(asked, had, 256, threshold=gap.ADJACENT_AT)
+    pairs = alike.join(asked.select(F.col("member").alias("skill_id"), F.col("class").alias("left")), "left") \
+        .join(had.select(F.col("member").alias("have_id"), F.col("class").alias("right")), "right").select("skill_id", "have_id", "similarity")
+    people = lens(spark, sf, "candidates").select("candidate_id", "target_role")
+    rows = gap.gap_rows(people, need, profile, gap.skill_relations(s, tax.ancestors(s)), vec.similar_offers(people, profile, pairs))
+    return rows.select("candidate_id", "target_role", "skill_id", "status", "reason", "via", F.col("similarity"), "gap")
+
+
+@query("k16_similar_vectors")
+def _(spark, sf):
+    # Every vector against all vectors with the next one's half added to them, so that there are pairs to find.
+    rows = lens(spark, sf, "SELECT vec_id, embedding FROM embeddings")
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    mixed = rows.join(after, "vec_id").select("vec_id", F.zip_with("embedding", "other", lambda a, b: a + 0.5 * b).alias("embedding"))
+    found = vec.similar_classes(vec.classes(rows, "vec_id", "embedding"), vec.classes(mixed, "vec_id", "embedding"), 64, threshold=0.82)
+    return found.select(F.col("left").alias("vec_id"), F.col("right").alias("mixed_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("w05_best_skill", f"WITH {LEVEL_SQL} SELECT candidate_id, skill_id, level FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY level DESC, confidence DESC, skill_id) AS i FROM profile_skills) WHERE i = 1")
 def _(spark, sf):
     order = F.struct((-F.col("level")).alias("a"), (-F.col("confidence")).alias("b"), "skill_id")

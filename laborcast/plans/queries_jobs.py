@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places
 from ..operators import best_matches as bm, enrichment as en, facts, matching as mt, postings as po, ranks, salary as sal, taxonomy as tax
+from ..session import shared_folder
 from .catalog import decimal_round, query
 from .lenses import WORD_ALIASES, lens
 from .queries_facts import BANDS_SQL, role_bands
@@ -147,7 +148,7 @@ jl AS (SELECT *, {city_sql('location_raw')} AS location, {TITLE_LEVEL} AS title_
   CASE WHEN experience_min IS NOT NULL THEN greatest(coalesce(experience_max, experience_min + 3), experience_min) ELSE {band_sql('title', POSTING_TITLE_BANDS, 2, 'NULL')} END AS hi,
   CASE WHEN {DEGREE_SQL.format('description')} > 0 THEN {DEGREE_SQL.format('description')} ELSE {DEGREE_SQL.format('title')} END AS wanted FROM jobs),
 cl2 AS (SELECT candidate_id, experience_years::DOUBLE AS y, {EXPAND_SQL} AS cities, {DEGREE_SQL.format('education')} AS have, education FROM (SELECT *, {city_sql('location')} AS city FROM candidates)),
-comp AS (SELECT s.candidate_id, s.job_id, s.skills, j.posted_at, j.stale, j.salary_min, j.salary_max, j.salary_is_predicted, CASE WHEN lo IS NULL THEN 0.7 WHEN y < lo THEN y / lo WHEN y <= hi THEN 1.0 ELSE greatest(0.5, 1 - (y - hi) / 10) END::DOUBLE AS experience,
+comp AS (SELECT s.candidate_id, s.job_id, s.skills, j.role, j.posted_at, j.stale, j.salary_min, j.salary_max, j.salary_is_predicted, CASE WHEN lo IS NULL THEN 0.7 WHEN y < lo THEN y / lo WHEN y <= hi THEN 1.0 ELSE greatest(0.5, 1 - (y - hi) / 10) END::DOUBLE AS experience,
   CASE WHEN wanted = 0 OR have >= wanted THEN 1.0 WHEN have > 0 THEN 0.6 ELSE 0.4 END::DOUBLE AS education,
   CASE WHEN work_mode = 'remote' OR location = 'Remote' THEN 1.0 WHEN location IS NULL OR len(cities) = 0 THEN 0.7 WHEN list_contains(cities, location) THEN 1.0
     WHEN location IN ('Delhi', 'Noida', 'Gurugram') AND len(list_intersect(cities, ['Delhi', 'Noida', 'Gurugram'])) > 0 THEN 0.8 ELSE 0.3 END::DOUBLE AS location,
@@ -158,8 +159,11 @@ comp AS (SELECT s.candidate_id, s.job_id, s.skills, j.posted_at, j.stale, j.sala
 ov AS (SELECT *, round(skills * 0.4::DOUBLE + experience * 0.2::DOUBLE + education * 0.1::DOUBLE + location * 0.1::DOUBLE + seniority * 0.1::DOUBLE + preference * 0.1::DOUBLE, 4) AS overall FROM comp)"""
 
 
+WISHES = {"work_modes": ["remote", "hybrid"], "employment_types": ["full_time"], "min_lpa": 10.0}
+
+
 def matches(spark, sf):
-    return mt.match_pairs(pair_scores(spark, sf), jobs(spark, sf), candidates(spark, sf).drop("role"), work_modes=["remote", "hybrid"], employment_types=["full_time"], min_lpa=10.0)
+    return mt.match_pairs(pair_scores(spark, sf), jobs(spark, sf), candidates(spark, sf).drop("role"), **WISHES)
 
 
 def _component(name: str, column: str, output: str):
@@ -190,44 +194,12 @@ def _(spark, sf):
     return matches(spark, sf).groupBy("match_class").agg(F.count(F.lit(1)).alias("pairs"))
 
 
-MEDIAN = 1_500_000
-
-
-@query("m14_salary_attractiveness", f"""
-SELECT job_id, round(CASE WHEN salary_is_predicted OR coalesce(salary_min, salary_max) IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + ((coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min)) / 2 - {MEDIAN}) / (2.0 * {MEDIAN}))) END::DOUBLE, 9) AS salary_score FROM jobs""")
-def _(spark, sf):
-    return lens(spark, sf, "jobs").select("job_id", F.round(mt.salary_attractiveness(F.lit(MEDIAN)), 9).alias("salary_score"))
-
-
 @query("m15_recency", f"""
 SELECT job_id, round(CASE WHEN d <= 3 THEN 1.0 ELSE greatest(0.2, 1 - 0.8 * (d - 3) / 42) END::DOUBLE * CASE WHEN stale THEN 0.8 ELSE 1.0 END::DOUBLE, 4) AS recency FROM (SELECT job_id, stale, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at)) / 86400e6 AS d FROM jobs)""")
 def _(spark, sf):
     return lens(spark, sf, "jobs").select("job_id", F.round(mt.recency(now()), 4).alias("recency"))
 
 
-RANK_SQL = f"""{MATCH_SQL},
-rs AS (SELECT *, CASE WHEN salary_is_predicted OR coalesce(salary_min, salary_max) IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + ((coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min)) / 2 - {MEDIAN}) / (2.0 * {MEDIAN}))) END::DOUBLE AS pay,
-  (CASE WHEN posted_at IS NULL THEN 0.5 WHEN d <= 3 THEN 1.0 ELSE greatest(0.2, 1 - 0.8 * (d - 3) / 42) END::DOUBLE * CASE WHEN stale THEN 0.8 ELSE 1.0 END::DOUBLE) AS fresh
-  FROM (SELECT *, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at)) / 86400e6 AS d FROM ov)),
-rk AS (SELECT candidate_id, job_id, overall, posted_at, {decimal_round("overall * 0.55::DOUBLE + location * 0.15::DOUBLE + experience * 0.1::DOUBLE + pay * 0.1::DOUBLE + fresh * 0.1::DOUBLE", 4)} AS rank_score FROM rs),
-placed AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY rank_score DESC, overall DESC, posted_at DESC NULLS LAST, job_id) AS position FROM rk)"""
-
-
-@query("m16_ranked_jobs", f"WITH {RANK_SQL} SELECT candidate_id, job_id, rank_score FROM rk")
-def _(spark, sf):
-    return mt.rank_jobs(matches(spark, sf), F.lit(MEDIAN), now()).select(*mt.PAIR, "rank_score")
-
-
-@query("t06_top_jobs", f"WITH {RANK_SQL} SELECT candidate_id, CAST(position AS INT) AS position, job_id, rank_score FROM placed WHERE position <= 10")
-def _(spark, sf):
-    return mt.rank_jobs(matches(spark, sf), F.lit(MEDIAN), now(), k=10).select("candidate_id", "position", "job_id", "rank_score")
-
-
-@query("t13_top_match_mean")
-def _(spark, sf):
-    return mt.top_match_mean(mt.rank_jobs(matches(spark, sf), F.lit(MEDIAN), now(), k=5)).withColumn("mean_match", F.round("mean_match", 4))
-
-
 @query("j16_market_pairs", f"""
 WITH m AS (SELECT candidate_id, target_role AS role, {city_sql('location')} AS city FROM candidates) SELECT r.role, r.city, r.n * j.n AS pairs FROM (SELECT role, city, count(*) AS n FROM m GROUP BY ALL) r JOIN (SELECT role, {city_sql('location_raw')} AS city, count(*) AS n FROM jobs GROUP BY ALL) j USING (role, city)""")
 def _(spark, sf):
@@ -237,20 +209,6 @@ def _(spark, sf):
     return ask.join(offer, ["role", "city"]).select("role", "city", (F.col("a") * F.col("b")).alias("pairs"))
 
 
-MARKET_PAIRS_SQL = f"""
-market_pairs AS (SELECT c.candidate_id, j.job_id FROM (SELECT candidate_id, target_role AS role, {city_sql('location')} AS city FROM candidates) c JOIN (SELECT job_id, role, {city_sql('location_raw')} AS city FROM jobs) j USING (role, city))"""
-
-
-@query("j16_top_market_jobs", f"""
-WITH {MARKET_PAIRS_SQL}, {RANK_SQL.replace("FROM applications a", "FROM market_pairs a")} SELECT candidate_id, CAST(position AS INT) AS position, job_id, rank_score FROM placed WHERE position <= 10""")
-def _(spark, sf):
-    lists, credits = sides(spark, sf)
-    people = candidates(spark, sf)
-    best = bm.best_market_jobs(people, jobs(spark, sf), lists, people.drop("role", "city"), credits, median=F.lit(MEDIAN), now=now(), k=10,
-                               work_modes=["remote", "hybrid"], employment_types=["full_time"], min_lpa=10.0)
-    return best.select("candidate_id", "position", "job_id", "rank_score")
-
-
 @query("j19_same_region", f"""
 SELECT job_id FROM (SELECT job_id, {city_sql('location_raw')} AS city FROM jobs) WHERE city IN ('Delhi', 'Noida', 'Gurugram')""")
 def _(spark, sf):
@@ -295,7 +253,7 @@ def _(spark, sf):
 MERGE_SQL = f"""
 k AS (SELECT *, {DUPLICATE_KEY_SQL.replace("coalesce(location, '')", "coalesce(location_raw, '')")} AS dk, length(description) AS n FROM snapshots),
 r AS (SELECT *, row_number() OVER (PARTITION BY dk ORDER BY (salary_min IS NOT NULL AND NOT salary_is_predicted) DESC, (salary_min IS NOT NULL) DESC, n DESC, CASE source WHEN 'listings' THEN 0 ELSE 1 END, job_id) AS i, count(*) OVER (PARTITION BY dk) AS copies FROM k),
-d AS (SELECT dk, job_id AS donor, n AS dn FROM (SELECT *, row_number() OVER (PARTITION BY dk ORDER BY n DESC, job_id DESC) AS j FROM k WHERE source = 'fulltext') WHERE j = 1)"""
+d AS (SELECT dk, job_id AS donor, n AS dn FROM (SELECT *, row_number() OVER (PARTITION BY dk ORDER BY n DESC, job_id DESC) AS j FROM k WHERE source = 'fulltext' AND job_id - 1000000000 IN (SELECT job_id FROM job_own_skills)) WHERE j = 1)"""
 
 
 @query("m01_merged_duplicates", f"WITH {MERGE_SQL} SELECT r.job_id, r.source, r.copies FROM r WHERE i = 1")
@@ -305,7 +263,10 @@ def _(spark, sf):
 
 @query("j18_donor_copy", f"WITH {MERGE_SQL} SELECT r.job_id, CASE WHEN r.source <> 'fulltext' AND dn > r.n THEN donor ELSE r.job_id END AS skills_from FROM r LEFT JOIN d USING (dk) WHERE i = 1")
 def _(spark, sf):
-    return po.merge_duplicates(lens(spark, sf, "snapshots"), **SOURCES).select("job_id", "skills_from")
+    # The full texts have the skills extracted from their jobs; a copy without any is no donor.
+    have = lens(spark, sf, "job_own_skills").select((F.col("job_id") + 1_000_000_000).alias("job_id")).distinct().withColumn("extracted", F.lit(True))
+    rows = lens(spark, sf, "snapshots").join(have, "job_id", "left")
+    return po.merge_duplicates(rows, has_skills=F.col("extracted"), **SOURCES).select("job_id", "skills_from")
 
 
 @query("u09_union_of_sources", "SELECT source, count(*) AS rows FROM snapshots GROUP BY source")
@@ -526,10 +487,69 @@ def _(spark, sf):
     return percentiles(spark, sf).select("candidate_id", band["min"].alias("lo"), band["max"].alias("hi"))
 
 
+# --- ranking with the market's own median ----------------------------------------------------------
+
+PAY_SQL = "CASE WHEN salary_is_predicted OR coalesce(salary_min, salary_max) IS NULL OR median IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, 0.5 + ((coalesce(salary_min, salary_max) + coalesce(salary_max, salary_min)) / 2 - median) / (2.0 * median))) END::DOUBLE"
+
+
+def ranked_jobs(spark, sf):
+    """Jobs with the median of their market's estimate."""
+    return jobs(spark, sf).join(market(spark, sf).select("role", F.col("estimated_median").alias("median")), "role", "left")
+
+
+def ranks_of(spark, sf, k=None):
+    scored = mt.match_pairs(pair_scores(spark, sf), ranked_jobs(spark, sf), candidates(spark, sf).drop("role"), **WISHES)
+    return mt.rank_jobs(scored, F.col("median"), now(), k=k)
+
+
+@query("m14_salary_attractiveness", f"""
+WITH {MARKET_SQL} SELECT job_id, {decimal_round(PAY_SQL, 9)} AS salary_score FROM (SELECT j.*, m.estimated_median AS median FROM jobs j LEFT JOIN market m USING (role))""")
+def _(spark, sf):
+    return ranked_jobs(spark, sf).select("job_id", F.round(mt.salary_attractiveness(F.col("median")), 9).alias("salary_score"))
+
+
+RANK_SQL = f"""{MATCH_SQL}, {MARKET_SQL},
+rs AS (SELECT *, {PAY_SQL} AS pay,
+  (CASE WHEN posted_at IS NULL THEN 0.5 WHEN d <= 3 THEN 1.0 ELSE greatest(0.2, 1 - 0.8 * (d - 3) / 42) END::DOUBLE * CASE WHEN stale THEN 0.8 ELSE 1.0 END::DOUBLE) AS fresh
+  FROM (SELECT *, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(posted_at)) / 86400e6 AS d FROM ov LEFT JOIN (SELECT role, estimated_median AS median FROM market) m USING (role))),
+rk AS (SELECT candidate_id, job_id, overall, posted_at, {decimal_round("overall * 0.55::DOUBLE + location * 0.15::DOUBLE + experience * 0.1::DOUBLE + pay * 0.1::DOUBLE + fresh * 0.1::DOUBLE", 4)} AS rank_score FROM rs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY rank_score DESC, overall DESC, posted_at DESC NULLS LAST, job_id) AS position FROM rk)"""
+
+
+@query("m16_ranked_jobs", f"WITH {RANK_SQL} SELECT candidate_id, job_id, rank_score FROM rk")
+def _(spark, sf):
+    return ranks_of(spark, sf).select(*mt.PAIR, "rank_score")
+
+
+@query("t06_top_jobs", f"WITH {RANK_SQL} SELECT candidate_id, CAST(position AS INT) AS position, job_id, rank_score FROM placed WHERE position <= 10")
+def _(spark, sf):
+    return ranks_of(spark, sf, 10).select("candidate_id", "position", "job_id", "rank_score")
+
+
+@query("t13_top_match_mean", f"WITH {RANK_SQL} SELECT candidate_id, round(avg(overall), 4) AS mean_match FROM placed WHERE position <= 5 GROUP BY candidate_id")
+def _(spark, sf):
+    return mt.top_match_mean(ranks_of(spark, sf, 5)).withColumn("mean_match", F.round("mean_match", 4))
+
+
+MARKET_PAIRS_SQL = f"""
+market_pairs AS (SELECT c.candidate_id, j.job_id FROM (SELECT candidate_id, target_role AS role, {city_sql('location')} AS city FROM candidates) c JOIN (SELECT job_id, role, {city_sql('location_raw')} AS city FROM jobs) j USING (role, city))"""
+
+
+@query("j16_top_market_jobs", f"""
+WITH {MARKET_PAIRS_SQL}, {RANK_SQL.replace("FROM applications a", "FROM market_pairs a")} SELECT candidate_id, CAST(position AS INT) AS position, job_id, rank_score FROM placed WHERE position <= 10""")
+def _(spark, sf):
+    # The search reads each of these several times, so they are written once.
+    shared_folder(spark)
+    offers, lists, credits = [df.checkpoint() for df in (ranked_jobs(spark, sf), *sides(spark, sf))]
+    people = candidates(spark, sf)
+    best = bm.best_market_jobs(people, offers, lists, people.drop("role", "city"), credits, median=F.col("median"), now=now(), k=10, **WISHES)
+    return best.select("candidate_id", "position", "job_id", "rank_score")
+
+
 @query("y13_chosen_negotiation")
 def _(spark, sf):
     # The job a candidate chose is their top ranked one.
-    top = mt.rank_jobs(matches(spark, sf), F.lit(MEDIAN), now(), k=1).select("candidate_id", "job_id", "overall")
+    top = ranks_of(spark, sf, 1).select("candidate_id", "job_id", "overall")
     base = top.join(lens(spark, sf, "jobs").select("job_id", "role", "salary_min", "salary_max", "salary_is_predicted"), "job_id") \
         .join(candidates(spark, sf).select("candidate_id", "experience_years"), "candidate_id").join(market(spark, sf), "role")
     valued = sal.candidate_value(base, match=F.col("overall"), years=F.col("experience_years"), band=F.lit(None).cast("struct<min:double,max:double>"))
