@@ -14,7 +14,7 @@ from .catalog import query
 from .lenses import lens
 from .queries_facts import demand_by_code
 from .queries_jobs import estimates, posted
-from .queries_resolve import requirements
+from .queries_resolve import REQ_SQL, requirements
 from .queries_scalars import case_sql, city_sql, COUNTRY, title_sql
 from .queries_text import aliases, skills
 
@@ -197,6 +197,22 @@ def _(spark, sf):
     return sinks.occupation_documents(lens(spark, sf, "occupations"), requirements(spark, sf)).select("soc_code", "total_requirements", "sha256")
 
 
+PARTS_SQL = f"""{REQ_SQL},
+placed AS (SELECT *, row_number() OVER (PARTITION BY soc_code ORDER BY coalesce(importance_norm, 0) DESC, item_type, item_name) - 1 AS place FROM unified),
+parts AS (SELECT soc_code, place // 200 AS part, count(*) AS items, sha256(string_agg(to_json({{'item_type': item_type, 'item_name': item_name, 'importance': CASE WHEN importance_norm IS NOT NULL THEN printf('%.4f', importance_norm) END}})::VARCHAR, chr(10) ORDER BY place)) AS sha256 FROM placed GROUP BY ALL)"""
+
+
+@query("s23_document_parts", f"WITH {PARTS_SQL} SELECT soc_code, part, items, sha256 FROM parts")
+def _(spark, sf):
+    return sinks.document_parts(requirements(spark, sf), size=200).select("soc_code", "part", "items", "sha256")
+
+
+@query("s23_document_manifest", f"""
+WITH {PARTS_SQL} SELECT o.soc_code, o.title, count(*) AS parts, CAST(sum(items) AS BIGINT) AS items, sha256(string_agg(p.sha256, '' ORDER BY part)) AS sha256 FROM occupations o JOIN parts p USING (soc_code) GROUP BY ALL""")
+def _(spark, sf):
+    return sinks.document_manifest(lens(spark, sf, "occupations"), sinks.document_parts(requirements(spark, sf), size=200))
+
+
 @query("s24_build_metadata", """
 SELECT '2.2.0' AS schema_version, concat('{"orders":', (SELECT count(*) FROM orders), ',"parts":', (SELECT count(*) FROM part), '}') AS table_counts""")
 def _(spark, sf):

@@ -121,3 +121,15 @@ def test_both_kinds_as_a_batch(spark):
     rows = spark.createDataFrame([("k", None, "2024-02-01"), ("k", None, "2024-01-01"), ("k", "2024-01-05", "2024-02-01"), ("k", "2024-01-03", "2024-02-02"), ("l", None, "2024-01-09")], "duplicate_key string, posted_at string, fetched_at string")
     got = {(r.duplicate_key, r.posted_at, str(r.event_time)[:10]) for r in stream.all_first_copies(rows).collect()}
     assert got == {("k", None, "2024-01-01"), ("k", "2024-01-03", "2024-01-03"), ("l", None, "2024-01-09")}
+
+
+def test_document_parts_put_together(spark):
+    rows = [("a", "tech", f"t{i:03}", None if i % 7 == 0 else round((i * 37 % 100) / 100, 4)) for i in range(95)] + [("b", "task", 'say "hi"\n', 0.0001)]
+    parts = sinks.document_parts(spark.createDataFrame(rows, "soc_code string, item_type string, item_name string, importance_norm double").repartition(3), size=10)
+    got = sorted(parts.collect(), key=lambda r: (r.soc_code, r.part))
+    want = sorted((r for r in rows if r[0] == "a"), key=lambda r: (-(r[3] or 0.0), r[1], r[2]))
+    lines = [json.loads(x) for r in got if r.soc_code == "a" for x in r.lines.split("\n")]
+    assert [(x["item_type"], x["item_name"], x["importance"]) for x in lines] == [(t, n, None if i is None else f"{i:.4f}") for _, t, n, i in want]
+    assert [r["items"] for r in got] == [10] * 9 + [5, 1] and json.loads(got[-1].lines) == {"item_type": "task", "item_name": 'say "hi"\n', "importance": "0.0001"}
+    manifest = sinks.document_manifest(spark.createDataFrame([("a", "A"), ("c", "C")], "soc_code string, title string"), parts).collect()
+    assert [(m.soc_code, m.parts, m["items"]) for m in manifest] == [("a", 10, 95)]
