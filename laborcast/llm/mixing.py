@@ -8,7 +8,7 @@ other documents is one small vector of residuals, so each step is one aggregatio
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quality_model import FEATURES, statistics
+from .quality_model import FEATURES, split, statistics
 from .shared import cut, extended, slices, with_columns, without
 
 #: The classifier is fitted on at most this many labelled documents, those whose keys have the smallest hashes.
@@ -31,9 +31,9 @@ KEEP = 1e-4
 TOLERANCE, STEPS = 1e-6, 100
 
 
-def word_set(text: str) -> set[bytes]:
-    """The distinct words in lower case (A-Z only); punctuation separates words."""
-    return set(text.encode("utf-8", "surrogatepass").lower().translate(_PLAIN).split())
+def word_set(words: Iterable[bytes]) -> set[bytes]:
+    """The distinct words in lower case (A-Z only), where punctuation separates words too; ``words`` are the distinct ones by space."""
+    return set(b" ".join(words).lower().translate(_PLAIN).split())
 
 
 @dataclass
@@ -50,8 +50,9 @@ class DomainModel:
         """One row for each text, not yet standardised."""
         rows = np.zeros((len(texts), len(FEATURES) + len(self.words)))
         for row, text in zip(rows, texts):
-            row[:len(FEATURES)] = statistics(text)
-            present = word_set(text) if self.words else ()
+            parts = split(text)  # once for both
+            row[:len(FEATURES)] = statistics(text, parts)
+            present = word_set(parts[2]) if self.words else ()
             row[len(FEATURES):] = [w in present for w in self.words]
         return rows
 
@@ -90,7 +91,7 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], key: str = "
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "_text"):
             for d, t in zip(part.column(0).to_pylist(), texts):
-                found = sorted(word_set(t))
+                found = sorted(word_set(set(t.encode("utf-8", "surrogatepass").split())))
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(found), pa.string()), pa.array(found, pa.binary())], names=["domain", "word"])
 
     sizes = {r[0]: r[1] for r in sample.groupBy("_domain").count().collect()}

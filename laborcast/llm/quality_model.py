@@ -32,16 +32,21 @@ FEATURES = [
 ]
 
 
-def statistics(text: str) -> list[float]:
-    """The statistics of one text, named by FEATURES; an empty text has zeros."""
+def split(text: str) -> tuple[bytes, list[bytes], Counter]:
+    """The bytes of a text, its words, and how often each is there."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
+    return data, words, Counter(words)
+
+
+def statistics(text: str, parts: tuple[bytes, list[bytes], Counter] | None = None) -> list[float]:
+    """The statistics of one text, named by FEATURES; an empty text has zeros. ``parts`` is its :func:`split`, if that is known."""
+    data, words, counts = parts or split(text)
     if not words:
         return [0.0] * len(FEATURES)
     codes = np.frombuffer(data, dtype=np.uint8)
     h = np.bincount(codes, minlength=256)
     n, k = len(data), len(words)
-    counts = Counter(words)
     lines, repeats = line_counts(text)
     p = h[h > 0] / n
     punctuation = h[33:48].sum() + h[58:65].sum() + h[91:97].sum() + h[123:127].sum()

@@ -1,6 +1,7 @@
 """Helpers that several operators use."""
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,9 +33,17 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the cluster's checkpoint folder and read again, so that what follows
-    neither repeats the work before nor depends on a single executor."""
+    neither repeats the work before nor depends on a single executor.
+
+    Nothing needs the shuffle files of the work before any more. Spark removes them once the driver has collected the plans
+    they belong to, which it does rarely by itself, so it is asked to: a long job then holds the files of a few steps, not of all.
+    """
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    written.sparkSession._jvm.System.gc()
+    return written
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
