@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their input, on rows built here."""
 from pyspark.sql import functions as F
 
+from laborcast.operators import gap
 from laborcast.plans import queries_text
 
 
@@ -18,3 +19,20 @@ def test_resume_texts_are_never_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan(rows)
     texts = {r.candidate_id: r.text for r in rows.collect()}
     assert sorted(texts) == list(range(6)) and all(f"\ntext {c % 4}\n" in t for c, t in texts.items())
+
+
+def test_gap_rows_shuffle_profiles_only(spark):
+    required = spark.createDataFrame([("r", s, s, True, i, 1.0, 3, "High") for i, s in enumerate(["sql", "python", "go"])],
+                                     "target_role string, skill_id string, display string, in_taxonomy boolean, position int, importance double, required_level int, priority string")
+    profile = spark.createDataFrame([(1, "mysql", 2, 0.9, False, True, 2), (1, "pg", 3, 0.5, True, False, 3), (1, "python", 1, 0.4, False, True, None), (None, "go", 3, 0.9, False, True, None)],
+                                    "candidate_id int, skill_id string, level int, confidence double, needs_verification boolean, supported boolean, claimed int")
+    relations = spark.createDataFrame([("sql", "mysql", 2), ("sql", "pg", 2), ("go", "python", 4)], "required_id string, have_id string, rule int")
+    people = spark.createDataFrame([(1, "r"), (1, "r"), (2, "r"), (None, "r"), (3, None)], "candidate_id int, target_role string")
+    rows = gap.gap_rows(people, required, profile, relations)
+    got = sorted((r.candidate_id or 0, r.skill_id, r.status, r.via, r.via_claimed) for r in rows.collect())
+    none = [(c, s, "missing", None, None) for c in (0, 2) for s in ("go", "python", "sql")]
+    assert got == sorted(none + 2 * [(1, "sql", "matched", "pg", 3), (1, "python", "matched", "python", None), (1, "go", "adjacent", "python", None)], key=lambda r: r[:2])
+    # The rows stay where their candidate is: nothing that is grouped by candidate moves them again.
+    grouped = rows.groupBy("candidate_id", "target_role").agg(F.count("status"))
+    after = plan(grouped)
+    assert "Exchange hashpartitioning" not in after[:after.index("Generate")]
