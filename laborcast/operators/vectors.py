@@ -2,21 +2,25 @@
 
 The signs of a vector's products with random planes through the origin agree for two vectors with a chance that depends on
 their angle alone. BITS signs make a key, and every vector has so many keys, in bands, that two vectors at the threshold share
-one with the wanted probability; vectors that share a key are compared exactly. Equal vectors are one from the start, so a
+one with the wanted probability. Of two vectors that share a key all signs are counted, which the keys' rows carry along, and only
+pairs that agree as often as similar vectors do leave the join; these are compared exactly. Equal vectors are one from the start, so a
 vector that many rows have costs as much as any other.
 """
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .taxonomy import cosine
 
 #: Signs of a key. With more rows take more, about log2 of the rows less six, so that few unlike vectors share a key.
 BITS, RECALL, SEED = 10, 0.98, 11
+#: Standard deviations below the expected count of equal signs down to which a pair is compared: of 3 million pairs at the threshold one is lost.
+DEVIATIONS = 5.0
 
 
 def bands_for(threshold: float, bits: int = BITS, recall: float = RECALL) -> int:
@@ -45,6 +49,19 @@ def plane_keys(size: int, bits: int, bands: int, seed: int = SEED):
     return keys
 
 
+def packed_signs(keys: str, bits: int, bands: int) -> list[Column]:
+    """The signs of all ``bands`` keys in the array column ``keys``, as many keys to a number as it holds."""
+    per = max(1, 63 // bits)
+    return [reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(F.get(keys, F.lit(j)), bits * (j - first)) for j in range(first, min(first + per, bands))])
+            for first in range(0, bands, per)]
+
+
+def least_agreement(threshold: float, signs: int) -> int:
+    """The fewest equal signs, of ``signs``, that two vectors with a cosine of ``threshold`` have but for rare exceptions (DEVIATIONS)."""
+    p = 1 - math.acos(threshold) / math.pi
+    return math.floor(signs * p - DEVIATIONS * math.sqrt(signs * p * (1 - p)))
+
+
 def classes(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(member, class, vector): each row's key, and of all rows with its vector the least one. NULL, empty and zero vectors have no class."""
     plain = rows.select(F.col(key).alias("member"), F.transform(vector, lambda v: v.cast("double")).alias("vector")) \
@@ -58,13 +75,17 @@ def similar_classes(left: DataFrame, right: DataFrame, size: int, *, threshold:
 
     Every pair found is exact; of the pairs at the threshold ``recall`` are found by expectation, of more similar ones more.
     """
-    keys = plane_keys(size, bits, bands_for(threshold, bits, recall))
+    bands = bands_for(threshold, bits, recall)
+    keys, numbers = plane_keys(size, bits, bands), -(-bands // max(1, 63 // bits))
     sides = []
     for side, name in ((left, "left"), (right, "right")):
         one = side.select(F.col("class").alias(name), F.col("vector").alias(f"{name}_vector")).dropDuplicates([name])
-        sides.append((one, one.select(name, F.posexplode(keys(F.col(f"{name}_vector"))).alias("band", "key"))))
+        signed = one.select(name, keys(F.col(f"{name}_vector")).alias("_keys"))
+        packed = [c.alias(f"{name}_{i}") for i, c in enumerate(packed_signs("_keys", bits, bands))]
+        sides.append((one, signed.select(name, *packed, F.posexplode("_keys").alias("band", "key"))))
     (a, a_keys), (b, b_keys) = sides
-    met = a_keys.join(b_keys, ["band", "key"]).select("left", "right").distinct()
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"left_{i}").bitwiseXOR(F.col(f"right_{i}"))) for i in range(numbers)])
+    met = a_keys.join(b_keys, ["band", "key"]).where(bits * bands - differ >= least_agreement(threshold, bits * bands)).select("left", "right").distinct()
     exact = met.join(a, "left").join(b, "right").select("left", "right", cosine(F.col("left_vector"), F.col("right_vector")).alias("similarity"))
     return exact.where(F.col("similarity") >= threshold)
 

@@ -1,7 +1,8 @@
 """Steps that must not grow faster than their input, on rows built here."""
+import numpy as np
 from pyspark.sql import functions as F
 
-from laborcast.operators import gap
+from laborcast.operators import gap, vectors as vec
 from laborcast.plans import queries_text
 
 
@@ -36,3 +37,13 @@ def test_gap_rows_shuffle_profiles_only(spark):
     grouped = rows.groupBy("candidate_id", "target_role").agg(F.count("status"))
     after = plan(grouped)
     assert "Exchange hashpartitioning" not in after[:after.index("Generate")]
+
+
+def test_unlike_vectors_with_a_key_in_common_leave_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((300, 32))
+    sides = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k int, v array<double>") for x in (base, base + 0.1 * rng.standard_normal(base.shape))]
+    found = vec.similar_classes(*[vec.classes(s, "k", "v") for s in sides], 32, threshold=0.82, bits=4, recall=0.999)
+    assert {(r.left, r.right) for r in found.collect()} >= {(i, i) for i in range(300)}
+    # With four signs a key nearly all 90,000 pairs share one; the count of equal signs is tested in their join.
+    assert vec.least_agreement(0.82, 320) > 220 and "bit_count" in plan(found)
