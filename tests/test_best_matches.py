@@ -77,3 +77,43 @@ def test_jobs_without_skills_are_scored_by_their_text(spark):
     scored = mt.pair_scores(pairs, mt.job_lists(jobs, none, skills, mt.is_broad(F.col("skill_id"))), mt.credit_maps(held, skills))
     got = {(r.candidate_id, r.job_id): (round(r.skills, 4), r.matched, r.missing) for r in scored.collect()}
     assert got == {(7, 1): (0.6667, ["machine_learning", "sql"], []), (7, 2): (0.3333, ["sql"], []), (7, 3): (0.0, [], []), **{(8, j): (0.0, [], []) for j in (1, 2, 3)}}
+
+
+def test_pairs_never_become_rows_outside_a_block(market, monkeypatch):
+    # Only what can be among a candidate's best leaves a block; before, all classes of a market were rows of each candidate.
+    sent = []
+    scored = mt.scored_matches
+    monkeypatch.setattr(mt, "scored_matches", lambda pairs, *a, **k: sent.append(pairs) or scored(pairs, *a, **k))
+    m = market
+    bm.best_market_jobs(m["requests"], m["jobs"], m["lists"], m["people"], m["credits"], **by_role(), k=3, **WISHES)
+    whole, left = bm.market_pairs(m["requests"], m["jobs"]).count(), sent[0].count()
+    assert 0 < left < whole / 10
+
+
+def test_matches_in_one_row_equal_those_of_joined_parts(market, spark):
+    m = market
+    pairs = bm.market_pairs(m["requests"], m["jobs"])
+    parts = mt.match_pairs(mt.pair_scores(pairs, m["lists"], m["credits"]), m["jobs"], m["people"], **WISHES)
+    got = mt.scored_matches(pairs, m["jobs"], m["lists"], m["people"], m["credits"], **WISHES)
+    columns = ["candidate_id", "job_id", "skills", "experience", "education_match", "location_match", "seniority", "preference", "overall", "matched", "missing"]
+    assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, parts.select(columns).collect()))
+    texts = got._jdf.queryExecution().optimizedPlan().toString()
+    assert texts.index("RLIKE") > texts.index("Join")  # texts are read below the join with the pairs
+
+
+def test_unlocked_jobs_equal_those_of_skill_rows(spark):
+    rng = random.Random(5)
+    skills, _ = seeds.taxonomy(spark)
+    ids = [s[0] for s in seeds.SKILLS][:25]
+    jobs = spark.createDataFrame([(i, "Engineer", "nurse", "Pune", "unknown", "unknown", 1.0, 9.0, None, None, False, "") for i in range(60)],
+                                 "job_id int, title string, role string, location string, work_mode string, employment_type string, experience_min double, experience_max double, "
+                                 "salary_min long, salary_max long, salary_is_predicted boolean, description string")
+    asked = spark.createDataFrame([(i, "nurse", s, rng.random() < .3) for i in range(55) for s in set(rng.choices(ids, k=5))], "job_id int, role string, skill_id string, inferred boolean")
+    held = spark.createDataFrame([(c, s, rng.randint(0, 4), rng.random() < .2) for c in range(20) for s in set(rng.choices(ids, k=6))], "candidate_id int, skill_id string, level int, needs_verification boolean")
+    people = spark.createDataFrame([(c, 4.0, [], ["Pune"]) for c in range(22)], "candidate_id int, experience_years double, education array<string>, cities array<string>")
+    wanted = spark.createDataFrame([(c, s) for c in range(22) for s in set(rng.choices(ids, k=3))], "candidate_id int, skill_id string")
+    pairs, broad = spark.range(22).selectExpr("int(id) AS candidate_id").crossJoin(jobs.select("job_id")), mt.is_broad(F.col("skill_id"))
+    rows = mt.skill_rows(pairs, asked, mt.skill_credits(held, skills), skills, broad)
+    slow = mt.skill_unlocks(mt.match_pairs(mt.skill_scores(rows), jobs, people), rows, wanted)
+    fast = mt.unlocked_jobs(pairs, jobs, mt.item_lists(asked, skills, broad), people, mt.credit_maps(held, skills), wanted)
+    assert {tuple(r) for r in fast.collect()} == {tuple(r) for r in slow.collect()} and slow.count() > 5
