@@ -310,6 +310,8 @@ TABLES, SHINGLE, SIMILAR = 8, 5, 0.8
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(TABLES)], dtype=np.uint64)
 #: Cells of the shingle counts, which only order the shingles, and how many travel as one row.
 CELLS, _CELL_ROW = 1 << 20, 1 << 12
+#: Cells of a sketch, and pairs of sketches that are compared at once.
+SKETCH, _COMPARED = 256, 1 << 14
 
 
 def word_prints(text: str) -> np.ndarray:
@@ -394,6 +396,25 @@ def most_shared(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, counts:
     return len(np.intersect1d(a, b, assume_unique=True)) + min(rest)
 
 
+def sketch(hashes: np.ndarray) -> bytes | None:
+    """How many elements of a set fall into each of SKETCH cells, one byte each; None if a byte can't hold a count."""
+    counts = np.bincount(hashes >> np.int64(32) & np.int64(SKETCH - 1), minlength=SKETCH)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """Sketches as rows; a null is a row of the largest counts."""
+    filled = [b"\xff" * SKETCH if x is None else x for x in column.to_pylist()]
+    return np.frombuffer(b"".join(filled), dtype=np.uint8).reshape(-1, SKETCH)
+
+
+def _sketch_allows(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether sets with these sketches, row by row, can have a similarity of SIMILAR: they share no more elements than the
+    smaller counts of all cells. ``sizes`` are those of both sets together. Two sets without a sketch always can."""
+    shared = np.concatenate([np.minimum(x[i:i + _COMPARED], y[i:i + _COMPARED]).sum(axis=1, dtype=np.int64) for i in range(0, len(x), _COMPARED)]) if len(x) else np.zeros(0, np.int64)
+    return (shared >= SIMILAR / (1 + SIMILAR) * sizes - 1e-6) | (shared == 255 * SKETCH)
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows (h, node, size, pos), sorted by h, whose h another row has too."""
     names, kept, had = ["h", "node", "size", "pos"], None, False
@@ -414,11 +435,12 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _group_pairs(every: bool):
     """Pairs (a, b) of nodes that one h brings together and whose sizes and places allow a similarity of SIMILAR, from rows
-    (h, node, size, pos, root) sorted by h: all those with different roots, or those next to each other by size."""
+    (h, node, size, pos, root) sorted by h: those next to each other by size; or, with ``every`` and a sixth column sketch, all
+    those with different roots. Their sketches are compared here, so that most pairs of a group that aren't alike are no rows."""
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, node, size, pos, root = rows
+        h, node, size, pos, root, sketches = rows
         order = np.lexsort((node, size, h))
-        h, node, size, pos, root = (x[order] for x in (h, node, size, pos, root))
+        h, node, size, pos, root, sketches = (x[order] for x in (h, node, size, pos, root, sketches))
         n = len(h)
         ends = np.repeat(np.flatnonzero(np.append(h[1:] != h[:-1], True)) + 1, np.diff(np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), n)))
         if every:
@@ -438,7 +460,12 @@ def _group_pairs(every: bool):
             start = end
             shared = 1 + np.minimum(size[x] - 1 - pos[x], size[y] - 1 - pos[y])
             good = (root[x] != root[y]) & (shared >= SIMILAR / (1 + SIMILAR) * (size[x] + size[y]) - 1e-6)
-            x, y = node[x[good]], node[y[good]]
+            x, y = x[good], y[good]
+            if every and len(x):
+                alike = np.concatenate([_sketch_allows(sketches[p], sketches[q], size[p] + size[q]) for p, q in (
+                    (x[i:i + _COMPARED], y[i:i + _COMPARED]) for i in range(0, len(x), _COMPARED))])
+                x, y = x[alike], y[alike]
+            x, y = node[x], node[y]
             if len(x):
                 a, b = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -448,7 +475,7 @@ def _group_pairs(every: bool):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch.column(i).to_numpy() for i in range(5)]
+            rows = [*(batch.column(i).to_numpy() for i in range(5)), _sketches(batch.column(5)) if every else np.empty((batch.num_rows, 0), np.uint8)]
             changes = np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1
             if held and rows[0][0] != held[-1][0][-1]:
                 cuts = [0, *changes[-1:]]
@@ -482,20 +509,23 @@ def print_pairs(prints: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, counts) -> DataFrame:
     """(a, b): the pairs of nodes whose texts have a similarity of SIMILAR or more.
 
-    ``nodes`` has node, digest, k, size and prefix, ``rows`` has digest, k and text, once for each node at least. The
-    prefixes rule out most pairs that aren't alike, before texts move; they then move once.
+    ``nodes`` has node, digest, k, size, prefix and sketch, ``rows`` has digest, k and text, once for each node at least. The
+    prefixes and sketches rule out most pairs that aren't alike, before texts move; they then move once.
     """
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = batch.column(3), batch.column(5)
-            sizes = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())
+            m, n, p, q = (batch.column(name) for name in ("m", "n", "x", "y"))
+            sums = m.to_numpy().astype(np.int64) + n.to_numpy()
+            able = pa.array(_sketch_allows(_sketches(batch.column("s")), _sketches(batch.column("t")), sums), pa.bool_())
+            batch, m, n, p, q = (c.filter(able) for c in (batch, m, n, p, q))
+            sizes = zip(m.to_pylist(), n.to_pylist())
             keep = [most_shared(x.values.to_numpy(), m, y.values.to_numpy(), n, counts.value) >= SIMILAR / (1 + SIMILAR) * (m + n) - 1e-6 for (m, n), x, y in zip(sizes, p, q)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda node, size, own: nodes.select(F.col("node").alias(node), F.col("size").alias(size), F.col("prefix").alias(own))
-    pairs = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "x", "n", "y")
+    side = lambda *names: nodes.select(*[F.col(c).alias(n) for c, n in zip(("node", "size", "prefix", "sketch"), names)])
+    pairs = pairs.join(side("a", "m", "x", "s"), "a").join(side("b", "n", "y", "t"), "b").select("a", "b", "m", "x", "s", "n", "y", "t")
     pairs = cut(pairs.mapInArrow(possible, "a long, b long"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
@@ -531,6 +561,8 @@ def near_links(nodes: DataFrame, rows: DataFrame, counts) -> DataFrame:
     links = confirmed(print_pairs(nodes.select("node", "prints")).unionAll(near), nodes, rows, counts)
     roots = components(links, "a", "b")
     apart = met.join(roots, "node", "left").select("h", "node", "size", "pos", F.coalesce("root", "node").alias("root"))
+    several = apart.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("h")
+    apart = apart.join(several, "h", "left_semi").join(nodes.select("node", "sketch"), "node").select("h", "node", "size", "pos", "root", "sketch")
     return links.unionAll(confirmed(by_h(apart).mapInArrow(_group_pairs(True), "a long, b long"), nodes, rows, counts))
 
 
@@ -550,10 +582,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             prints = pa.array([word_prints(t).view(np.int64) for t in own], pa.list_(pa.int64()))
             sets = [shingle_set(t) for t in own]
             first = pa.array([prefix(s, counts.value) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:2], prints, pa.array(map(len, sets), pa.int32()), first], names=["k", "digest", "prints", "size", "prefix"])
+            cells = pa.array(map(sketch, sets), pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], prints, pa.array(map(len, sets), pa.int32()), first, cells], names=["k", "digest", "prints", "size", "prefix", "sketch"])
 
-    prints = rows.mapInArrow(printed, "k long, digest string, prints array<long>, size int, prefix array<long>")
-    nodes = cut(prints.groupBy("digest").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("prints", "size", "prefix")]).withColumn("node", F.xxhash64("digest")))
+    prints = rows.mapInArrow(printed, "k long, digest string, prints array<long>, size int, prefix array<long>, sketch binary")
+    nodes = cut(prints.groupBy("digest").agg(F.min("k").alias("k"), *[F.first(c).alias(c) for c in ("prints", "size", "prefix", "sketch")]).withColumn("node", F.xxhash64("digest")))
     roots = components(near_links(nodes, rows, counts), "a", "b")
     grouped = cut(nodes.select("digest", "k", "node").join(roots, "node"))
     first = grouped.groupBy("root").agg(F.min(F.struct("k", "digest")).alias("first"))

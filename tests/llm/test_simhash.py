@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -187,3 +188,24 @@ def test_passages_appended_truncated_and_replaced(spark):
     got = deduplicated_ids(spark, docs)
     print("partners", partners, "found", len(docs) - len(got))
     assert got == expected
+
+
+def test_unlike_pairs_of_a_large_group_are_no_rows():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(-(1 << 62), 1 << 62, 100)) for _ in range(300)]
+    sets += [np.unique(np.append(s[5:], rng.integers(-(1 << 62), 1 << 62, 5))) for s in sets[:20]]  # alike
+    n = len(sets)
+    columns = [pa.array(x, pa.int64()) for x in (np.zeros(n), range(n), map(len, sets), np.zeros(n), range(n))]
+    batch = pa.RecordBatch.from_arrays([*columns, pa.array(map(simhash.sketch, sets), pa.binary())], names=["h", "node", "size", "pos", "root", "sketch"])
+    got = {(a, b) for part in simhash._group_pairs(True)([batch]) for a, b in zip(*(c.to_pylist() for c in part.columns))}
+    assert {(300 + i, i) for i in range(20)} <= got and len(got) < 100  # of 51,040
+
+
+def test_sketches_never_exclude_like_sets():
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 5, 60, 3000, 200_000):  # the last has no sketch
+        common = rng.integers(-(1 << 62), 1 << 62, size)
+        a, b = (np.unique(np.append(common, rng.integers(-(1 << 62), 1 << 62, size // 9))) for _ in range(2))
+        x, y = (simhash._sketches(pa.array([simhash.sketch(s)], pa.binary())) for s in (a, b))
+        assert simhash.similarity(a, b) >= simhash.SIMILAR and simhash._sketch_allows(x, y, np.array([len(a) + len(b)])).all()
+    assert simhash.sketch(a) is None
