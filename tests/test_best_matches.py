@@ -117,3 +117,11 @@ def test_unlocked_jobs_equal_those_of_skill_rows(spark):
     slow = mt.skill_unlocks(mt.match_pairs(mt.skill_scores(rows), jobs, people), rows, wanted)
     fast = mt.unlocked_jobs(pairs, jobs, mt.item_lists(asked, skills, broad), people, mt.credit_maps(held, skills), wanted)
     assert {tuple(r) for r in fast.collect()} == {tuple(r) for r in slow.collect()} and slow.count() > 5
+
+
+def test_patterns_are_made_only_of_names_in_the_text(spark):
+    rows = spark.createDataFrame([("knows machine learning, c++ and sql", ["machine_learning", "sql", "docker", "c++", "machine"]), ("mysqlite", ["sql"]), (None, ["sql"])], "text string, top array<string>")
+    found = rows.select(F.filter("top", lambda s: mt.in_text(F.col("text"), s)).alias("f"))
+    assert [r.f for r in found.collect()] == [["machine_learning", "sql", "machine"], [], []]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.lower().find("contains(") < plan.index("RLIKE")
