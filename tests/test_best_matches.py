@@ -125,3 +125,11 @@ def test_patterns_are_made_only_of_names_in_the_text(spark):
     assert [r.f for r in found.collect()] == [["machine_learning", "sql", "machine"], [], []]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.lower().find("contains(") < plan.index("RLIKE")
+
+
+def test_what_depends_on_the_job_alone_comes_with_it(market):
+    lists = {r.job_id: r for r in market["lists"].collect()}
+    assert {r["items"] is None for r in lists.values()} == {r["_w"] is None for r in lists.values()}
+    for r in lists.values():
+        if r["items"] is not None:
+            assert r["_w"] == sum(x["w"] for x in r["items"]) and r["_inferred"] == sum(x["inferred"] for x in r["items"]) / len(r["items"])
