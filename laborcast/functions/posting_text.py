@@ -13,8 +13,12 @@ CONTRACT_TIMES = {"full_time": "full_time", "part_time": "part_time"}
 CONTRACT_TYPES = {"contract": "contract", "permanent": "full_time"}
 COMPANY_NOISE = ["pvt", "private", "ltd", "limited", "inc", "llp", "llc", "corp", "corporation", "co", "india",
                  "technologies", "technology", "solutions", "services"]
-CONTACT_PATTERN = (r"(?i)\S+@\S+|(?:https?://|www\.)\S+"
-                   r"|\b(?:linkedin|github|gitlab|kaggle|leetcode|medium)[.\s]com\S*")
+_BLANK = r" \t\n\x0B\f\r"
+PROFILE_HOSTS = ["linkedin", "github", "gitlab", "kaggle", "leetcode", "medium"]
+# An address is looked for once per run of characters, as any later start in the run fails or lies inside the match; the
+# look-aheads spare the other tests where no link or profile host can begin.
+CONTACT_PATTERN = (rf"(?<![^{_BLANK}])[^{_BLANK}][^{_BLANK}@]*+@\S+"
+                   rf"|(?=[hwlgkmHWLGKM])(?i:(?:https?://|www\.)\S+|\b(?:{'|'.join(PROFILE_HOSTS)})[.\s]com\S*)")
 
 
 def _lookup(col: Column, pairs: dict[str, str]) -> Column:
@@ -74,7 +78,10 @@ def duplicate_key(title: Column, company: Column, city: Column) -> Column:
 
 def strip_contacts(text: Column) -> Column:
     """Text without e-mail addresses, links and profile hosts."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), CONTACT_PATTERN, " ")
+    low = F.lower(text)
+    # Every match holds one of these; most texts hold none, and the pattern is far dearer than the search for them.
+    may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in ["@", "://", "www.", *PROFILE_HOSTS]])
+    return F.when(may, F.regexp_replace(text, CONTACT_PATTERN, " ")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def fingerprint(text: Column) -> Column:
