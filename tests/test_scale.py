@@ -2,8 +2,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from laborcast.operators import gap, vectors as vec
+from laborcast.operators import gap, matching as mt, vectors as vec
 from laborcast.plans import queries_text
+from laborcast.plans.lenses import lens
 
 
 def plan(df) -> str:
@@ -47,3 +48,42 @@ def test_unlike_vectors_with_a_key_in_common_leave_no_pairs(spark):
     assert {(r.left, r.right) for r in found.collect()} >= {(i, i) for i in range(300)}
     # With four signs a key nearly all 90,000 pairs share one; the count of equal signs is tested in their join.
     assert vec.least_agreement(0.82, 320) > 220 and "bit_count" in plan(found)
+
+
+def _market(spark):
+    skills = spark.createDataFrame([("sql", "data", False), ("mysql", "sql", False), ("data", None, True)], "id string, maps_to string, is_category boolean")
+    asked = spark.createDataFrame([(1, "sql", False), (1, "mysql", True), (1, "data", False), (1, "tally", False), (1, "tally", False), (1, None, None), (2, "mysql", False),
+                                   (3, "gone", None), (3, "tally", True)], "job_id int, skill_id string, inferred boolean")
+    held = spark.createDataFrame([(7, "mysql", 3, False), (7, "tally", 1, True), (7, None, 3, False), (8, "sql", 2, False), (8, "data", 0, False), (None, "sql", 3, False)],
+                                 "candidate_id int, skill_id string, level int, needs_verification boolean")
+    pairs = spark.createDataFrame([(c, j) for c in (7, 8, 9, None) for j in (1, 2, 3, 4, None)] + [(7, 1)], "candidate_id int, job_id int")
+    jobs = spark.createDataFrame([(1, "a", "b"), (2, "c", None), (3, None, None), (4, "my sql job", "mysql and tally")], "job_id int, title string, description string")
+    return skills, asked, held, pairs, jobs, mt.is_broad(F.col("skill_id"))
+
+
+def test_pairs_with_places_score_like_pairs_with_names(spark):
+    skills, asked, held, pairs, jobs, broad = _market(spark)
+    lists, credits = mt.job_lists(jobs, asked, skills, broad), mt.credit_maps(held.where("skill_id IS NOT NULL"), skills)
+    known = mt.known_items(skills)
+    assert known == (("data", None), ("mysql", "sql"), ("sql", "data"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    named = mt.pair_scores(pairs, lists, credits)
+    for some in (known, known[:1], (("sql", None),)):
+        assert rows(mt.pair_scores(pairs, lists, credits, known=some)) == rows(named)
+    # What pairs carry to their candidates has no names of known skills.
+    assert mt.with_places(lists.where("job_id = 2"), known).select("_others").first()[0] is None
+    direct = mt.skill_credits(held, skills)
+    by_name = mt.skill_rows(pairs, asked, direct, skills, broad)
+    assert by_name.count() == 3 * (6 + 1 + 2) + 6 + 9 and rows(mt.skill_rows(pairs, asked, direct, skills, broad, known=known)) == rows(by_name)
+    assert "candidate_id, parent" not in plan(by_name) and "skill_id, candidate_id" not in plan(by_name)
+
+
+def test_lines_are_dealt_once_for_what_is_grouped_by_their_job_or_candidate(spark, tmp_path):
+    spark.range(40).select((F.col("id") % 9).alias("l_orderkey"), (F.col("id") * 7 % 50).alias("l_partkey"), (F.col("id") % 7).cast("int").alias("l_linenumber")) \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(9).select(F.col("id").alias("o_orderkey"), (F.col("id") % 4).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(4).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    for name, key in (("applications", "job_id"), ("posting_skills", "posting_id"), ("candidate_evidence", "candidate_id"), ("candidate_claims", "candidate_id")):
+        rows = lens(spark, str(tmp_path), name)
+        assert rows.count() == rows.distinct().count() > 0
+        assert plan(rows.groupBy(key).agg(F.count(F.lit(1)))).count("Exchange hashpartitioning") == 1
